@@ -1,0 +1,35 @@
+"""Every registered query of the engine runs, and agrees with its SQL where it has some."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+from cleanspan.plans import queries as plans
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = "documents pages labels conversations benchmark embeddings".split()
+
+
+@pytest.fixture(scope="module")
+def database():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+def rows(columns, values):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    plain = [tuple(None if isinstance(v[i], float) and math.isnan(v[i]) else v[i] for i in order) for v in values]
+    return sorted(columns), sorted(plain, key=repr)
+
+
+@pytest.mark.parametrize("name", list(plans.queries()))
+def test_query(spark, database, name):
+    df = plans.queries()[name](spark, DATA)
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    if sql := plans.oracle_sql().get(name):
+        cursor = database.execute(sql)
+        assert got == rows([d[0] for d in cursor.description], cursor.fetchall())
