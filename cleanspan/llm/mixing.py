@@ -14,7 +14,7 @@ mix; the last slots of a source end at its target exactly.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in order; documents of
 size 0 are taken 0 times; rows equal in id and text lie next to each other in their stream; an empty table
-gives an empty table.
+gives an empty table; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,13 +137,14 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 
     Repeated rows are kept apart by numbering them on both sides of the join.
     """
-    own = documents.columns
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = planned(documents, **options).where("size > 0").select("doc_id", "dice", "start", times.alias("__times")).where("__times > 0")
-    every = Window.partitionBy("__id", "__dice")
-    plan = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("dice").alias("__dice"), "start", "__times")
-    plan = plan.withColumn("__copy", F.row_number().over(every.orderBy("start"))).drop("start")
-    keyed = documents.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__dice": F.xxhash64(F.lit("mix"), "doc_id", "text")})
-    keyed = keyed.withColumn("__copy", F.row_number().over(every.orderBy("source")))
-    met = keyed.join(plan, ["__id", "__dice", "__copy"])
-    return met.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own)
+    plan = planned(documents, **options).where("size > 0").select("doc_id", "dice", "start", times.alias("times")).where("times > 0")
+    every = Window.partitionBy("id", "dice")
+    plan = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "dice", "start", "times")
+    plan = plan.withColumn("copy", F.row_number().over(every.orderBy("start"))).drop("start")
+    keyed = documents.select(
+        F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("dice"), "source"
+    )
+    keyed = keyed.withColumn("copy", F.row_number().over(every.orderBy("source")))
+    met = keyed.join(plan, ["id", "dice", "copy"])
+    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -7,8 +7,8 @@ for all other languages, so they are a table of ``len(languages) + 1`` rows howe
 A distance only counts where the text is long enough for its histogram to mean something.
 
 Defined results: a null text counts as empty and fails the base rules; a null or unknown language uses
-the reference for other languages; repeated rows are judged alike; an empty table gives an empty table.
-Columns named like the operator's own outputs are replaced.
+the reference for other languages; a text of any length is read whole; repeated rows are judged alike; an empty
+table gives an empty table; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
     terms = F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x))
     total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total, F.lit(0.0)) / (2 * math.log(2)))
+    return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total) / (2 * math.log(2)))
 
 
 def with_features(df: DataFrame, all_words: bool = True) -> DataFrame:
@@ -213,9 +213,6 @@ def diverges() -> Column:
     return (c > MAX_CLASS_DISTANCE) | (w > MAX_WORD_DISTANCE) | (c + w > MAX_SUM)
 
 
-OWN = ["q_lang", "n_text_chars", "class_count", "q_words", "class_distance", "word_distance"]
-
-
 def failed_base() -> Column:
     return base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
 
@@ -244,5 +241,5 @@ def assess(documents: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. References come from a first pass over all rows."""
     refs = references(with_features(documents.select("text", "lang"), all_words=False))
-    own = [c for c in documents.columns if c not in OWN]
-    return with_distances(with_features(documents.select(*own)), refs).where(~failed_base() & ~diverges()).select(*own)
+    rows = documents.select(F.struct("*").alias("row"), "text", "lang")
+    return with_distances(with_features(rows), refs).where(~failed_base() & ~diverges()).select("row.*")

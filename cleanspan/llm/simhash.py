@@ -15,7 +15,8 @@ pair of blocks is compared by a task of its own.
 Components come from alternating large-star and small-star steps over the links, with a checkpoint each.
 
 Defined results: a null or empty text has fingerprint zero; rows with one fingerprint are linked whatever their
-ids; null ids never name a component unless all its ids are null; an empty table gives an empty table.
+ids; null ids never name a component unless all its ids are null; an empty table gives an empty table;
+further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -313,6 +314,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents with one of each component: that of the least doc_id, of repeated rows one."""
-    kept = clusters(documents).select("best.*").distinct().select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("row_hash").alias("__hash"))
-    keyed = documents.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__hash": F.xxhash64("doc_id", "text")})
-    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    best = clusters(documents).select("best.*").distinct()
+    kept = best.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row_hash").alias("hash"))
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    keyed = documents.select(F.struct("*").alias("row"), id_of.alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    return keyed.join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -43,7 +43,7 @@ class WordEncoder:
             stem = word.rstrip(CLOSING)
             if stem.isalpha():  # ASCII letters
                 stem = stem.lower()
-            elif not stem or not (letters := stem.decode()).isalpha() or max(letters) >= FIRST_OTHER:
+            elif not stem or max(letters := stem.decode()) >= FIRST_OTHER or not letters.isalpha() or not letters.lower().isalpha():
                 new.add(word)
                 continue
             tail = word[len(stem) :]

@@ -12,7 +12,7 @@ fitted on a sample of at most ``TRAIN_ROWS`` of them, by hash order, with one te
 
 Defined results: a null or empty text scores what the classifier gives without any finding; a null id counts as
 held out; without toxic or without clean training rows the fixed lexicons decide; an empty table gives an
-empty table. Columns named like the outputs are replaced.
+empty table; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -252,22 +252,22 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scor
     return Scorer(voters, weights.tolist(), bias)
 
 
-def scored(documents: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of the documents, and ``score``."""
+def scored(documents: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """All columns of the documents, and the score by ``name``, which must be free."""
     from pyspark.sql.types import DoubleType, StructType
 
-    kept = [f for f in documents.schema.fields if f.name != "score"]
-    schema = StructType(list(kept)).add("score", DoubleType())
+    fields = documents.schema.fields
+    names = [f.name for f in fields]
+    at = names.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        at = [f.name for f in kept].index("text")
         for batch in batches:
             scores = [scorer.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, name])
 
-    return documents.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return documents.mapInArrow(run, StructType(list(fields)).add(name, DoubleType()))
 
 
 def predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -278,5 +278,7 @@ def predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    own = documents.columns
-    return scored(documents, fit(documents, labels)).where("score < 0.5").select(*own)
+    name = "score"
+    while name in documents.columns:
+        name += "_"
+    return scored(documents, fit(documents, labels), name).where(F.col(name) < 0.5).drop(name)
