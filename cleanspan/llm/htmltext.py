@@ -209,7 +209,7 @@ def second_pass(blocks: list[tuple[Block, str]]) -> None:
     for i in range(len(first) - 1, -1, -1):
         after[i] = last
         last = first[i] if first[i] in ("good", "bad") else last
-    # Next to one another, near-good blocks of a content element hold each other up.
+    # Undecided blocks of a content element are part of the content.
     for i, (block, _) in enumerate(blocks):
         if first[i] in ("good", "bad"):
             continue
@@ -220,8 +220,8 @@ def second_pass(blocks: list[tuple[Block, str]]) -> None:
         elif first[i] == "near":
             block.label = "good"
         else:
-            ahead = [b.label for b, _ in blocks[i + 1 : i + 1 + HEADING_REACH]]
-            block.label = "good" if block.heading and after[i] == "good" and "bad" not in ahead else "bad"
+            ahead = [label for label in first[i + 1 : i + 1 + HEADING_REACH] if label in ("good", "bad")]
+            block.label = "good" if block.heading and ahead[:1] == ["good"] else "bad"
 
 
 def main_text(page: str | None) -> str:
