@@ -314,7 +314,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, end_i
     return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(put, MANIFEST)
 
 
-READ = "doc_id long, start_in_file long, n_tokens long, ids_crc32 long, part long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -324,9 +324,8 @@ def read(manifest: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = filesystem(path)
-                start = 0
                 with store.open_input_stream(at, buffer_size=1 << 20) as stream:
                     for docs, lengths, ids in read_blocks(stream):
                         raw, offset, crcs, starts = ids.tobytes(), 0, [], []
@@ -335,15 +334,13 @@ def read(manifest: DataFrame) -> DataFrame:
                             starts.append(start + offset)
                             offset += n
                         start += offset
-                        columns = [docs, starts, lengths, crcs, [part] * len(docs)]
+                        columns = [docs, starts, lengths, crcs]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in READ.split(", ")])
 
     # One row a file; files are in the order of their first document.
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    files = manifest.select("path", "part")
-    rows = files.repartition(max(1, files.count()), "part").mapInArrow(get, READ)
-    return rows.join(starts, "part").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(get, READ)
 
 
 def round_trip(documents: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
