@@ -1,3 +1,32 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits
+  FROM pages),
+d AS (
+  SELECT *, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+           + 16 * (substr(bits, 5 * i::INT + 1, 1) = '1')::INT + 8 * (substr(bits, 5 * i::INT + 2, 1) = '1')::INT
+           + 4 * (substr(bits, 5 * i::INT + 3, 1) = '1')::INT + 2 * (substr(bits, 5 * i::INT + 4, 1) = '1')::INT
+           + (substr(bits, 5 * i::INT + 5, 1) = '1')::INT, 1)), lambda a, b: a || b) AS payload_digest,
+         min(page_id) OVER (PARTITION BY html) AS first
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op7_warc_round_trip": _WARC, "op8_threshold_top_k": _TOP_K}
