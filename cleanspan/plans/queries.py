@@ -210,14 +210,16 @@ _N_TAGS = "length(regexp_replace(t, '[^\U000e0000-\U000e007f]', '', 'g'))"
     + f" UNION ALL SELECT doc_id, 'tag character' AS label, {_N_TAGS}::BIGINT AS n FROM {_dirty_sql()}) WHERE n > 0"
 )
 def hidden_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hidden characters of each document by name, those past the listed thousand too."""
-    c = "t"
-    named = F.array(*[F.struct(F.lit(name).alias("label"), count_of(F.col(c), x).alias("n")) for name, x in _HIDDEN_NAMES.items()])
-    rows = found(spark, sf_dir).where("kind = 'hidden'").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    # Listed findings stop at a thousand for each document; documents with more are counted whole.
-    many = reports.inspected(dirty(spark, sf_dir), "t").where("inspection.omittedFindings.hidden > 0")
-    whole = many.select("doc_id", F.explode(F.array_append(named, F.struct(F.lit("tag character").alias("label"), F.regexp_count("t", F.lit("[\U000e0000-\U000e007f]")).cast("long").alias("n")))).alias("x")).select("doc_id", "x.*")
-    return rows.join(many.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(whole.where("n > 0"))
+    """Hidden characters of each document by name. The record lists a thousand; documents with more are counted by name."""
+    rows = reports.inspected(dirty(spark, sf_dir), "t").select("doc_id", "t", "inspection.hidden", F.col("inspection.omittedFindings.hidden").alias("more"))
+
+    def tally(name: str, whole: Column) -> Column:
+        listed = F.size(F.filter("hidden", lambda h: h["name"] == name)).cast("long")
+        return F.struct(F.lit(name).alias("label"), F.when(F.col("more") == 0, listed).otherwise(whole).alias("n"))
+
+    tags = F.regexp_count("t", F.lit("[\U000e0000-\U000e007f]")).cast("long")
+    named = [tally(name, count_of(F.col("t"), x)) for name, x in _HIDDEN_NAMES.items()] + [tally("tag character", tags)]
+    return rows.select("doc_id", F.explode(F.array(*named)).alias("x")).select("doc_id", "x.*").where("n > 0")
 
 
 @query(f"SELECT doc_id, 'hi' AS detail, {_count_sql(chr(0xE0068) + chr(0xE0069))} AS n FROM {_dirty_sql()} WHERE contains(t, '\U000e0068')")
