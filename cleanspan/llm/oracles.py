@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from . import quality
+
+
 _WARC = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
@@ -29,4 +32,47 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op7_warc_round_trip": _WARC, "op8_threshold_top_k": _TOP_K}
+_LISTS = "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in {**quality.COMMON_WORDS, "other": quality.COMMON_WORDS_OTHER}.items()) + "}"
+
+_QUALITY = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS q
+  FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols
+  FROM d),
+win AS (SELECT r, list_transform(range(len(ws) - 7), lambda i: array_to_string(ws[i + 1 : i + 8], ' ')) AS wi FROM w WHERE len(ws) >= 8),
+x AS (SELECT r, unnest(wi) AS s, generate_subscripts(wi, 1) AS i FROM win),
+y AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS later FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS c FROM x) WHERE c > 1),
+rep AS (SELECT r, sum(least(8, coalesce(later - i, 8)))::BIGINT AS n FROM y GROUP BY r),
+counts AS (
+  SELECT r, q, length(t) AS chars, len(ws) AS words,
+    [length(regexp_replace(t, '\\P{{Ll}}', '', 'g')), length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')),
+     length(regexp_replace(t, '\\P{{Lu}}', '', 'g')), symbols,
+     length(regexp_replace(regexp_replace(t, '[#*$%&|<>]', '', 'g'), '\\P{{P}}', '', 'g')), length(regexp_replace(t, '\\P{{Nd}}', '', 'g'))] AS c,
+    list_transform({_LISTS}[q], lambda k: len(list_filter(ws, lambda v: v = k))) AS k
+  FROM w),
+hist AS (
+  SELECT r, q, 'c' AS kind, chars AS n, chars >= {quality.MIN_CHARS} AS in_ref, chars >= {quality.MIN_CHARS} AS judged, list_append(c, chars - list_sum(c)) AS h FROM counts
+  UNION ALL
+  SELECT r, q, 'w', words, chars >= {quality.MIN_CHARS}, words >= {quality.MIN_WORDS}, list_append(k, words - list_sum(k)) FROM counts),
+share AS (SELECT r, q, kind, in_ref, judged, unnest(h) / n AS p, generate_subscripts(h, 1) AS i FROM hist WHERE n > 0),
+ref AS (SELECT q, kind, i, avg(p) AS m FROM share WHERE in_ref GROUP BY ALL),
+dist AS (
+  SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + m)) ELSE 0 END + CASE WHEN m > 0 THEN m * ln(2 * m / (p + m)) ELSE 0 END), 0) / (2 * ln(2))) AS j
+  FROM share JOIN ref USING (q, kind, i) WHERE judged GROUP BY r, kind),
+pair AS (SELECT r, coalesce(max(j) FILTER (kind = 'c'), 0) AS c, coalesce(max(j) FILTER (kind = 'w'), 0) AS w FROM dist GROUP BY r),
+base AS (
+  SELECT w.r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, symbols::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+  AND NOT (coalesce(c, 0) > {quality.MAX_CLASS_DISTANCE} OR coalesce(w, 0) > {quality.MAX_WORD_DISTANCE} OR coalesce(c, 0) + coalesce(w, 0) > {quality.MAX_SUM}) AS kept
+FROM base LEFT JOIN pair USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_divergence": _QUALITY, "op7_warc_round_trip": _WARC, "op8_threshold_top_k": _TOP_K}
