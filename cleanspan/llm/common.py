@@ -52,17 +52,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The tables stay, as results are read from them; :func:`release` deletes them.
+    """
     path = fresh_path(df.sparkSession, name)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored, once their results have been used."""
+    while _stored:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 # --- Binary files on the shared store, used inside tasks -------------------------------------------

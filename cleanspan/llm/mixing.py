@@ -28,8 +28,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 8192
-#: Buckets of each source in which documents are ordered; the order of the buckets makes up the stream.
+#: Buckets of each source in which documents are ordered; the order of the buckets makes up the stream. So many, and
+#: more once a bucket would pass so many rows.
 BUCKETS = 1024
+BUCKET_ROWS = 1_000_000
 #: Cells of [0, 1) in which slots meet the ranges of sources.
 GRID = 1024
 #: Slots that are ranked in one piece.
@@ -45,7 +47,7 @@ def sized(documents: DataFrame) -> DataFrame:
         F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")).alias("src"),
         n_words(text_of("text")).alias("size"),
         F.xxhash64(F.lit("mix"), "doc_id", "text").alias("dice"),
-    ).withColumn("bucket", F.pmod("dice", F.lit(BUCKETS)).cast("int"))
+    )
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -106,6 +108,8 @@ def planned(documents: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sha
     """One row per document: doc_id, dice, src, size, source_size, target, taken, start (its place in its source's
     stream) and first_slot (null if the mix takes nothing of it)."""
     records = stored(sized(documents), "mix-sizes")
+    buckets = max(BUCKETS, -(-records.count() // BUCKET_ROWS))
+    records = records.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
     cells = records.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, max_repeat)
     goals = stored(goals.withColumn("words", F.floor(F.col("target") + 0.5)), "mix-targets")

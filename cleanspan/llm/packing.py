@@ -28,8 +28,9 @@ QUANTUM = 128
 END_ID = 2
 #: The pricing stops when the best new pattern would save less than this share of a sequence.
 TOLERANCE = 1e-6
-#: Pieces of one length are numbered in so many parts, by document.
+#: Pieces of one length are numbered in parts, by document: so many, and more once a part would pass so many rows.
 PARTS = 64
+PART_ROWS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -174,16 +175,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, quantum: int = QUANTUM) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     cut = stored(pieces(documents, tokenizer, capacity, quantum), "pieces")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(PARTS)).cast("int"))
-    cells = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     # One row for each of the possible lengths, at most capacity / quantum + quantum.
-    counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(PARTS, -(-max(counts.values(), default=0) // PART_ROWS))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(parts)).cast("int"))
+    cells = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     rows = sorted(plan(counts, capacity))
     # Numbers within a length without gaps: first number of each (length, part) cell, then order inside the cell.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     cell = Window.partitionBy("length", "part").orderBy("doc_id", "doc_tokens", "start", "ids_crc32")
-    numbered = cut.withColumn("place", F.row_number().over(cell) - 1).join(F.broadcast(starts), ["length", "part"])
+    numbered = cut.withColumn("place", F.row_number().over(cell) - 1).join(starts, ["length", "part"])
     numbered = numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("rank"))
     return placed(numbered, rows)
 

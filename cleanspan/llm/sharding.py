@@ -22,23 +22,24 @@ from .common import fresh_path, stored, text_of
 
 SLOTS = 4096
 SHARDS = 16
-#: Parts in which the rows of one slot are numbered, so that no task has to sort a whole slot.
+#: Parts in which the rows of one slot are numbered, so that no task has to sort a whole slot: so many, and more once
+#: a part would pass so many rows.
 PARTS = 8
+PART_ROWS = 1_000_000
 
 
 def keyed(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual slot and numbering part of each record."""
+    """doc_id, size, text_crc32, digest and virtual slot of each record."""
     size = (F.octet_length(text_of("text")) + 1).cast("long")
     crc = F.crc32(text_of("text").cast("binary"))
     digest = F.xxhash64("doc_id", "text_crc32", "size")
-    return documents.select("doc_id", size.alias("size"), crc.alias("text_crc32")).withColumns(
-        {"vslot": F.pmod(digest, F.lit(slots)).cast("int"), "part": F.pmod(F.shiftrightunsigned(digest, 40), F.lit(PARTS)).cast("int")}
-    )
+    rows = documents.select("doc_id", size.alias("size"), crc.alias("text_crc32")).withColumn("digest", digest)
+    return rows.withColumn("vslot", F.pmod("digest", F.lit(slots)).cast("int"))
 
 
 def slot_bytes(records: DataFrame) -> DataFrame:
     """Bytes of each virtual slot that has records; at most one row a slot."""
-    return records.groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
 def first_map(slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
@@ -94,13 +95,15 @@ def shard(documents: DataFrame, slots: int = SLOTS, shards: int = SHARDS, folder
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "slotmap")
     records = stored(keyed(documents, slots), "shard-keys")
-    sizes = {r.vslot: r.bytes for r in slot_bytes(records).collect()}  # one row for each of the fixed slots at most
+    found = slot_bytes(records).collect()  # one row for each of the fixed slots at most
+    sizes = {r.vslot: r.bytes for r in found}
+    parts = max(PARTS, -(-max((r.n for r in found), default=0) // PART_ROWS))
     first = first_map(slots, shards)
     store_map(spark, first, folder, 0)
     store_map(spark, rebalanced(first, sizes, shards), folder, 1)
     # A fixed number of slots bounds the map: thousands of rows of two integers.
     placed = records.join(F.broadcast(load_map(spark, folder, 1)), "vslot")
-    return numbered(placed)
+    return numbered(placed.withColumn("part", F.pmod(F.shiftrightunsigned("digest", 40), F.lit(parts)).cast("int")))
 
 
 def numbered(placed: DataFrame) -> DataFrame:
@@ -108,11 +111,10 @@ def numbered(placed: DataFrame) -> DataFrame:
     number, and rows are ordered within their cell only."""
     counts = placed.groupBy("shard", "vslot", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most slots x parts rows, a fixed number.
     starts = counts.select("vslot", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     cell = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
     rows = placed.withColumn("place", F.row_number().over(cell) - 1)
-    return rows.join(F.broadcast(starts), ["vslot", "part"]).select(
+    return rows.join(starts, ["vslot", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",
