@@ -125,7 +125,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(20)] + [(40, rows[40][1]), (11, rows[11][1])]
-    rows += [(None, rows[1][1]), (500, None), (510, [0.1, None, 0, 0, 0, 0.0]), (520, [float("nan")] * 6), (530, [float("inf")] + [0.0] * 5), (540, [0.0] * 6)]
+    rows += [(None, rows[1][1]), (500, None), (510, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (520, [float("nan")] * 6), (530, [float("inf")] + [0.0] * 5), (540, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, 1, "r") for i, v in rows], "vec_id long, embedding array<float>, label int, rank string").repartition(3)
     for blocks in ({"candidate_block": 50, "query_block": 9}, {}):
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, every=10, **blocks).collect())
