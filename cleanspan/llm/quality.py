@@ -190,56 +190,60 @@ def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return {r.q_lang: ([x for x in r.c if x is not None], [x for x in r.w if x is not None]) for r in rows}
 
 
-def with_distances(df: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """Adds ``class_distance`` and ``word_distance``, null where the text is too short for the histogram."""
+def distances(q_lang: Column, n_chars: Column, class_count: Column, word_count: Column, refs: dict[str, tuple[list[float], list[float]]]) -> Column:
+    """Struct of ``class_distance`` and ``word_distance``, null where the text is too short for the histogram."""
+    none = F.lit(None).cast("double")
     if not refs:
-        return df.withColumns({"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
+        return F.struct(none.alias("class_distance"), none.alias("word_distance"))
 
     def table(k: int) -> Column:
         return F.create_map(*[x for lang, v in sorted(refs.items()) for x in (F.lit(lang), F.array(*map(F.lit, v[k])).cast("array<double>"))])
 
-    words = F.aggregate(F.col("q_words.word_count"), F.lit(0), lambda a, x: a + x)
-    return df.withColumns(
-        {
-            "class_distance": F.when(F.col("n_text_chars") >= MIN_CHARS, js_distance(shares(F.col("class_count")), F.element_at(table(0), F.col("q_lang")))),
-            "word_distance": F.when(words >= MIN_WORDS, js_distance(shares(F.col("q_words.word_count")), F.element_at(table(1), F.col("q_lang")))),
-        }
+    words = F.aggregate(word_count, F.lit(0), lambda a, x: a + x)
+    return F.struct(
+        F.when(n_chars >= MIN_CHARS, js_distance(shares(class_count), F.element_at(table(0), q_lang))).alias("class_distance"),
+        F.when(words >= MIN_WORDS, js_distance(shares(word_count), F.element_at(table(1), q_lang))).alias("word_distance"),
     )
 
 
-def diverges() -> Column:
-    """The method's verdict on rows of :func:`with_distances`: true if a histogram, or both together, are too far off."""
-    c, w = F.coalesce(F.col("class_distance"), F.lit(0.0)), F.coalesce(F.col("word_distance"), F.lit(0.0))
+def diverges(distance: Column) -> Column:
+    """The method's verdict on :func:`distances`: true if a histogram, or both together, are too far off."""
+    c, w = F.coalesce(distance["class_distance"], F.lit(0.0)), F.coalesce(distance["word_distance"], F.lit(0.0))
     return (c > MAX_CLASS_DISTANCE) | (w > MAX_WORD_DISTANCE) | (c + w > MAX_SUM)
 
 
-def failed_base() -> Column:
-    return base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
-
-
 def assess(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, base counts, ``base_failed``, ``kept`` and both distances.
 
     The features of all rows are written once, without the texts; references and verdicts come from them.
     """
     features = stored(with_features(documents.select("doc_id", "text", "lang")).drop("text", "lang"), "quality")
-    judged = with_distances(features, references(features))
-    return judged.select(
+    distance = distances(F.col("q_lang"), F.col("n_text_chars"), F.col("class_count"), F.col("q_words.word_count"), references(features))
+    failed = base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
+    return features.withColumn("distance", distance).select(
         "doc_id",
         "q_words.n_words",
         "q_words.word_chars",
         F.get("class_count", F.lit(list(CLASSES).index("symbol"))).cast("long").alias("n_symbols"),
         "q_words.n_dup_lines",
         "q_words.n_repeat_words",
-        failed_base().alias("base_failed"),
-        (~failed_base() & ~diverges()).alias("kept"),
-        "class_distance",
-        "word_distance",
+        failed.alias("base_failed"),
+        (~failed & ~diverges(F.col("distance"))).alias("kept"),
+        "distance.class_distance",
+        "distance.word_distance",
     )
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. References come from a first pass over all rows."""
+    """The documents that pass, with their own columns. References come from a first pass over all rows.
+
+    The verdict is one expression with every part bound, as a filter would evaluate a feature at each mention.
+    """
     refs = references(with_features(documents.select("text", "lang"), all_words=False))
-    rows = documents.select(F.struct("*").alias("row"), "text", "lang")
-    return with_distances(with_features(rows), refs).where(~failed_base() & ~diverges()).select("row.*")
+    t, language = text_of("text"), known_language(F.col("lang"))
+
+    def good(words: Column, classes: Column) -> Column:
+        found = distances(language, F.char_length(t), classes, words["word_count"], refs)
+        return let(found, lambda d: ~base_failed(words["n_words"], words["n_repeat_words"]) & ~diverges(d))
+
+    return documents.where(let(word_features(t, language), lambda w: let(class_counts(t), lambda c: good(w, c))))
