@@ -119,21 +119,18 @@ def planned(documents: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, sha
     rows = records.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.join(goals, "src"), ["src", "bucket"])
     rows = rows.select("doc_id", "dice", "src", "size", "source_size", "target", "words", (F.col("before") + F.col("inside")).alias("start"))
     rows = stored(rows, "mix-streams")
-    empty = rows.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
     # Each time the document comes round in the repeated stream, and each block that it touches there.
     a = F.col("round") * F.col("source_size") + F.col("start")
     spans = rows.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
-    spans = spans.withColumns({"a": a, "b": F.least(a + F.col("size"), F.col("words"))})
-    spans = spans.where((F.col("a") < F.col("b")) | (F.col("round") == 0))
-    touched = F.when(F.col("a") < F.col("b"), F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block)))
-    spans = spans.withColumn("turn", F.explode_outer(touched))
-    met = spans.join(schedule(goals, block), ["src", "turn"], "left")
+    spans = spans.withColumns({"a": a, "b": F.least(a + F.col("size"), F.col("words"))}).where("a < b")
+    spans = spans.withColumn("turn", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     part = F.least("b", (F.col("turn") + 1) * block) - F.greatest("a", F.col("turn") * block)
     keys = ["doc_id", "dice", "src", "size", "source_size", "target", "words", "start"]
-    taken = met.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), part)), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot")
-    )
-    return taken.unionByName(empty).drop("words")
+    met = spans.join(schedule(goals, block), ["src", "turn"]).groupBy(*keys)
+    taken = met.agg(F.sum(part).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    # Documents past their source's target, and empty ones, meet no block.
+    rest = rows.where("size = 0 OR start >= words").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    return taken.unionByName(rest).drop("words")
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
