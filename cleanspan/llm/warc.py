@@ -7,7 +7,7 @@ the next member's first byte, so bytes that look like magic inside a member only
 record, where the header check turns them away.
 
 Of pages with equal payloads the one with the least page_id is written whole, as a response; the others revisit
-it. Only payload digests and page ids are shuffled to find it; the pages meet the result in a join on the digest.
+it. Only payload digests and page ids are shuffled to find it; each different payload is shuffled to its response.
 
 Defined results: a null page has an empty payload; rows with a null page_id come last within their payload; of
 rows equal in page_id, url and payload one is the first, the others revisit it; an empty table gives no archive and
@@ -20,7 +20,7 @@ import base64
 import hashlib
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import AtomicFile, filesystem, fresh_path, stored, text_of
@@ -41,27 +41,32 @@ def digest_of(payload: bytes) -> str:
 
 
 def with_originals(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Adds ``original``: the page_id that a page revisits; null, with ``revisits`` false, for a response."""
+    """A row for each record: page_id, url, html (null for a revisit), revisits, original, sha and size.
+
+    Which page comes first is found without the pages' bodies. Equal bodies are one row before they are shuffled.
+    """
     payload = text_of("html").cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_of(F.col("html").cast("string")).alias("html"))
     rows = rows.withColumns({"sha": F.sha1(payload), "size": F.octet_length(payload)})
-    own = F.struct(F.col("page_id").isNull().alias("absent"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
-    firsts = rows.groupBy("sha").agg(F.min(own).alias("first"))
-    # Rows alike in all three are told apart by number; only these share a window.
-    alike = Window.partitionBy("sha", "page_id", "url").orderBy("size")
-    numbered = rows.withColumn("copy", F.row_number().over(alike))
-    met = numbered.join(firsts, "sha")
-    is_first = (own == F.col("first")) & (F.col("copy") == 1)
-    revisits = ~is_first & (F.col("size") >= least)
-    return met.select("page_id", "url", "html", revisits.alias("revisits"), F.when(revisits, F.col("first.page_id")).alias("original"))
-
-
-def record(page_id, url, page, revisits: bool, original) -> bytes:
-    """One gzip member with a response or revisit record."""
-    payload = (page or "").encode()
-    body = b"" if revisits else payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
-    lines.append(f"X-Payload-Length: {len(payload)}")
+    own = F.struct(F.col("page_id").isNull().alias("absent"), "page_id", F.col("url").isNull().alias("bare"), F.coalesce("url", F.lit("")).alias("url"))
+    counts = rows.groupBy("sha", "size", own.alias("own")).agg(F.count("*").alias("n"))
+    firsts = counts.groupBy("sha").agg(F.min("own").alias("first"))
+    met = counts.join(firsts, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    leads = (F.col("own") == F.col("first")) & (F.col("copy") == 1)
+    revisits = ~leads & (F.col("size") >= least)
+    url = F.when(~F.col("own.bare"), F.col("own.url"))
+    records = met.select("sha", "size", F.col("own.page_id").alias("page_id"), url.alias("url"), revisits.alias("revisits"), F.when(revisits, F.col("first.page_id")).alias("original"))
+    whole = records.where(~F.col("revisits")).join(rows.select("sha", "html").dropDuplicates(["sha"]), "sha")
+    again = records.where("revisits").withColumn("html", F.lit(None).cast("string"))
+    return whole.unionByName(again).select("page_id", "url", "html", "revisits", "original", "sha", "size")
+
+
+def record(page_id, url, page, revisits: bool, original, sha: str | None = None, size: int | None = None) -> bytes:
+    """One gzip member with a response record, or with a revisit of a payload of this SHA-1 (hexadecimal) and size."""
+    body = b"" if revisits else (page or "").encode()
+    digest = base64.b32encode(bytes.fromhex(sha)).decode() if sha else digest_of(body)
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines.append(f"X-Payload-Length: {len(body) if size is None else size}")
     if page_id is not None:
         lines.append(f"WARC-Record-ID: <urn:x-page:{page_id}>")
     if url is not None:
@@ -87,7 +92,7 @@ def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES) -> Data
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         try:
             for batch in batches:
-                for row in zip(*(batch.column(i) for i in range(5)), strict=True):
+                for row in zip(*(batch.column(i) for i in range(7)), strict=True):
                     out = out or AtomicFile(path)
                     out.write(record(*(v.as_py() for v in row)))
                     count += 1
@@ -100,7 +105,7 @@ def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES) -> Data
             raise
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out.size]), pa.array([count])], ["path", "n_bytes", "records"])
 
-    return with_originals(pages, least).select("page_id", "url", "html", "revisits", "original").mapInArrow(put, MANIFEST)
+    return with_originals(pages, least).mapInArrow(put, MANIFEST)
 
 
 class Range:
