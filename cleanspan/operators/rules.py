@@ -176,7 +176,8 @@ def visible(text: Column) -> Column:
 
 def apply_recipe(df: DataFrame, column: str, recipe: str | Recipe | Mapping) -> DataFrame:
     """The edits of :func:`edits`, with ``inspection`` of the text and ``outputInspection`` of the result."""
-    done = edits(df, column, recipe)
+    # The generator keeps the optimizer from merging the rules into the argument of the last inspection.
+    done = edits(df, column, recipe).withColumn("output", F.explode(F.array("output")))
     return done.withColumns({"inspection": inspection(F.col(column)), "outputInspection": inspection(F.col("output"))})
 
 
