@@ -2,9 +2,12 @@
 
 Each document yields two histograms: shares of character classes, and shares of a language's common
 words among its words. Each is compared with the reference of its language by Jensen-Shannon distance
-(base 2, in [0, 1]). References are the corpus's own mean histograms, one per known language and one
-for all other languages, so they are a table of ``len(languages) + 1`` rows however large the corpus.
-A distance only counts where the text is long enough for its histogram to mean something.
+(base 2, in [0, 1]). References are per-bin medians over the distinct texts that pass the base rules, one per known
+language and one for all other languages: junk of less than half of a language's texts, and copies of any number, leave
+them nearly where they are. A known language of few texts uses fixed references. They are a table of
+``len(languages) + 1`` rows however large the corpus. A distance only counts where the text is long enough for its
+histogram to mean something. ``mean_references`` are the means over all rows, which junk and copies do move; the SQL of
+op1 has them.
 
 Defined results: a null text counts as empty and fails the base rules; a null or unknown language uses
 the reference for other languages; a text of any length is read whole; repeated rows are judged alike; an empty
@@ -14,8 +17,10 @@ table gives an empty table; further columns stay as they are, whatever their nam
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, stored, text_of, words_of
@@ -47,6 +52,31 @@ MAX_WORD_DISTANCE = 0.35
 #: Of both together, for texts that are somewhat off in either way.
 MAX_SUM = 0.44
 WINDOW = 8
+#: Shares are rounded to this part for the medians, so that these are counts of few values and exact in any order of rows.
+STEPS = 4096
+#: Fewer distinct texts of a known language are too few for its medians.
+MIN_REFERENCE = 30
+#: For those: medians of the distinct base-passing texts of sf0.1, classes and then common words.
+FIXED_REFERENCES = {
+    "de": (
+        [0.8108, 0.1548, 0.0128, 0.0, 0.0216, 0.0, 0.0],
+        [0.0486, 0.0247, 0.0199, 0.0077, 0.0099, 0.008, 0.0061, 0.0122, 0.0037, 0.0036, 0.006, 0.0049, 0.0049, 0.0048, 0.002, 0.8332],
+    ),
+    "en": (
+        [0.7954, 0.1669, 0.0139, 0.0, 0.0238, 0.0, 0.0],
+        [0.0491, 0.0251, 0.0203, 0.0149, 0.0098, 0.0086, 0.005, 0.0059, 0.0077, 0.0062, 0.0043, 0.0035, 0.0031, 0.0029, 0.0032, 0.8304],
+    ),
+    "es": (
+        [0.8016, 0.1618, 0.0135, 0.0, 0.023, 0.0, 0.0],
+        [0.05, 0.025, 0.0191, 0.0137, 0.0118, 0.0097, 0.0084, 0.007, 0.0056, 0.0064, 0.0052, 0.005, 0.0047, 0.0036, 0.0032, 0.8214],
+    ),
+    "fr": (
+        [0.7952, 0.1668, 0.0141, 0.0, 0.0239, 0.0, 0.0],
+        [0.0493, 0.0262, 0.0193, 0.0138, 0.0116, 0.0103, 0.0089, 0.0078, 0.0065, 0.0057, 0.0051, 0.0045, 0.0047, 0.0037, 0.0037, 0.8191],
+    ),
+}
+
+References = dict[str, tuple[list[float], list[float]]]
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -159,16 +189,55 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total) / (2 * math.log(2)))
 
 
-def with_features(df: DataFrame, all_words: bool = True) -> DataFrame:
-    """Adds ``q_lang``, ``n_text_chars``, ``class_count`` and ``q_words`` (of :func:`word_features`, or of it
-    only ``word_count``)."""
+def with_features(df: DataFrame) -> DataFrame:
+    """Adds ``q_lang``, ``text_hash``, ``n_text_chars``, ``class_count`` and ``q_words`` (of :func:`word_features`)."""
     t = text_of("text")
     language = known_language(F.col("lang"))
-    words = word_features(t, language) if all_words else let(words_of(t), lambda w: F.struct(word_counts(w, language).alias("word_count")))
-    return df.withColumns({"q_lang": language, "n_text_chars": F.char_length(t).cast("long"), "class_count": class_counts(t), "q_words": words})
+    return df.withColumns(
+        {
+            "q_lang": language,
+            "text_hash": F.xxhash64(t),
+            "n_text_chars": F.char_length(t).cast("long"),
+            "class_count": class_counts(t),
+            "q_words": word_features(t, language),
+        }
+    )
 
 
-def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(featured: DataFrame) -> References:
+    """Median class and word shares of each language over its distinct texts that pass the base rules and are long
+    enough to have them, brought to a sum of 1; the fixed ones for a known language of few such texts.
+
+    The medians are taken from counts of rounded shares: at most ``STEPS + 1`` rows for each bin of a language.
+    """
+
+    def steps(counts: Column) -> Column:
+        return F.transform(shares(counts), lambda x: F.round(x * STEPS).cast("int"))
+
+    # No row is filtered before it is counted, as a filter would evaluate the features at each mention: texts that do
+    # not count have null steps, and a null bin.
+    counted = (F.col("n_text_chars") >= MIN_CHARS) & ~base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
+    both = F.concat(steps(F.col("class_count")), steps(F.col("q_words.word_count")))
+    texts = featured.select("q_lang", "text_hash", F.when(counted, both).alias("steps")).distinct()
+    counts = texts.select("q_lang", F.posexplode_outer("steps").alias("bin", "step")).groupBy("q_lang", "bin", "step").agg(F.count("*").alias("n"))
+    each = Window.partitionBy("q_lang", "bin")
+    ranked = counts.withColumns({"upto": F.sum("n").over(each.orderBy("step")), "texts": F.sum("n").over(each)})
+    middle = [F.min(F.when(at, F.col("step"))) for at in (F.col("upto") * 2 >= F.col("texts"), F.col("upto") * 2 > F.col("texts"))]
+    rows = ranked.groupBy("q_lang", "bin").agg(((middle[0] + middle[1]) / 2).alias("median"), F.first("texts").alias("texts")).collect()
+    medians, found = defaultdict(list), dict(FIXED_REFERENCES)
+    for r in sorted((r for r in rows if r.bin is not None), key=lambda r: (r.q_lang, r.bin)):
+        if r.texts >= MIN_REFERENCE or r.q_lang not in FIXED_REFERENCES:
+            medians[r.q_lang].append(r.median)
+    for lang, m in medians.items():
+        parts = m[: len(CLASSES) + 1], m[len(CLASSES) + 1 :]
+        if all(map(sum, parts)):
+            found[lang] = tuple([x / sum(part) for x in part] for part in parts)
+        else:
+            found.pop(lang, None)
+    return found
+
+
+def mean_references(featured: DataFrame) -> References:
     """Mean class and word shares of each language over all documents long enough to have them.
 
     Returns at most ``len(COMMON_WORDS) + 1`` rows to the driver.
@@ -190,7 +259,7 @@ def references(featured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return {r.q_lang: ([x for x in r.c if x is not None], [x for x in r.w if x is not None]) for r in rows}
 
 
-def distances(q_lang: Column, n_chars: Column, class_count: Column, word_count: Column, refs: dict[str, tuple[list[float], list[float]]]) -> Column:
+def distances(q_lang: Column, n_chars: Column, class_count: Column, word_count: Column, refs: References) -> Column:
     """Struct of ``class_distance`` and ``word_distance``, null where the text is too short for the histogram."""
     none = F.lit(None).cast("double")
     if not refs:
@@ -212,13 +281,13 @@ def diverges(distance: Column) -> Column:
     return (c > MAX_CLASS_DISTANCE) | (w > MAX_WORD_DISTANCE) | (c + w > MAX_SUM)
 
 
-def assess(documents: DataFrame) -> DataFrame:
+def assess(documents: DataFrame, referred: Callable[[DataFrame], References] = references) -> DataFrame:
     """One row per document: doc_id, base counts, ``base_failed``, ``kept`` and both distances.
 
     The features of all rows are written once, without the texts; references and verdicts come from them.
     """
     features = stored(with_features(documents.select("doc_id", "text", "lang")).drop("text", "lang"), "quality")
-    distance = distances(F.col("q_lang"), F.col("n_text_chars"), F.col("class_count"), F.col("q_words.word_count"), references(features))
+    distance = distances(F.col("q_lang"), F.col("n_text_chars"), F.col("class_count"), F.col("q_words.word_count"), referred(features))
     failed = base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
     return features.withColumn("distance", distance).select(
         "doc_id",
@@ -239,7 +308,7 @@ def keep_good(documents: DataFrame) -> DataFrame:
 
     The verdict is one expression with every part bound, as a filter would evaluate a feature at each mention.
     """
-    refs = references(with_features(documents.select("text", "lang"), all_words=False))
+    refs = references(with_features(documents.select("text", "lang")))
     t, language = text_of("text"), known_language(F.col("lang"))
 
     def good(words: Column, classes: Column) -> Column:

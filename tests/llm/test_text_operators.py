@@ -67,6 +67,28 @@ def test_quality_rejects_what_diverges(spark):
     assert 99 not in kept and len(kept) == 60
 
 
+def test_quality_references_withstand_junk(spark):
+    """A third of a language is junk that passes the base rules, with many copies; the clean texts stay, the junk goes."""
+    rng = random.Random(2)
+
+    def numbers():
+        return " ".join(str(rng.randint(1000, 99_999_999)) for _ in range(120))
+
+    clean = [(i, sentence(rng, 150), "en", "s", 1) for i in range(80)]
+    junk = [(100 + i, numbers(), "en", "s", 1) for i in range(40)]
+    copies = [(200 + i, junk[0][1], "en", "s", 1) for i in range(200)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([*clean, *junk, *copies], columns).repartition(3)
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == list(range(80))
+    assert sorted(r.doc_id for r in quality.assess(df).where("kept").collect()) == list(range(80))
+    # A language of few texts, most of them junk, is held against the fixed references.
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'fr'").select("doc_id", "text", "lang", "source", "n_chars")
+    sound = quality.assess(rows).where("kept").orderBy("doc_id").limit(5).select("doc_id")
+    few = rows.join(sound, "doc_id").unionByName(spark.createDataFrame([(-i, numbers(), "fr", "s", 1) for i in range(1, 10)], columns))
+    kept = {r.doc_id for r in quality.keep_good(few).collect()}
+    assert len(kept) == 5 and min(kept) >= 0
+
+
 # --- op 2 --------------------------------------------------------------------------------------------
 
 
