@@ -4,8 +4,8 @@ A page is cut into blocks at its block-level tags. Pass one classes each block b
 and link density as good, bad, near-good or short; pass two lets the undecided blocks inherit: between decided
 neighbours of one label they take it, between different ones a short block goes bad unless it is a near-good
 one next to a good block. What page markup itself names as not content (navigation, header, footer, aside,
-forms, dialogs, scripts, styles; class or id words for adverts, menus, notices, sidebars, comments) is bad from the
-start; paragraphs and headings directly in an article element count as near-good at least, and inherit good.
+forms, dialogs, scripts, styles; classes or ids for adverts, menus, notices, sidebars, comments) is bad from the
+start. A name that only has such a word in it (``no-sidebar``) counts if no article, main or good block lies inside. Paragraphs and headings directly in an article element count as near-good at least, and inherit good.
 
 Defined results: a null or empty page has the empty text; unclosed tags and markup cut off at the end of the
 page are read as far as they go; repeated rows are treated alike; an empty table gives an empty table.
@@ -38,7 +38,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements whose text never counts, however the rules class it.
 NEVER = frozenset("script style template noscript head title svg canvas iframe object video audio select textarea button".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
-#: A class or id with one of these words marks its element as boilerplate.
+#: A class or id that is one of these words marks its element as boilerplate; one that has the word in it does so in doubt.
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header masthead menu nav navbar navigation newsletter notice pager pagination popup promo promoted related share sharing "
@@ -54,52 +54,72 @@ STOP_LOW, STOP_HIGH = 0.30, 0.32
 HEADING_REACH = 3
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 PARTIAL = re.compile(r"<[!/?a-zA-Z][^<>]*\Z")
 WORD = re.compile(r"\w+")
 
 
+class Doubt:
+    """An element that is boilerplate unless content is found in it; content in it is content in its parents too."""
+
+    __slots__ = ("parent", "cleared")
+
+    def __init__(self, parent: Doubt | None):
+        self.parent, self.cleared = parent, False
+
+
+def clear(doubt: Doubt | None) -> None:
+    while doubt and not doubt.cleared:
+        doubt.cleared = True
+        doubt = doubt.parent
+
+
 class Block:
-    __slots__ = ("parts", "linked", "marked", "content", "heading", "label")
+    __slots__ = ("parts", "linked", "marked", "doubt", "content", "heading", "label")
 
-    def __init__(self, marked: bool, content: bool, heading: bool):
+    def __init__(self, marked: bool, doubt: Doubt | None, content: bool, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.marked, self.content, self.heading = marked, content, heading
+        self.marked, self.doubt, self.content, self.heading = marked, doubt, content, heading
         self.label = ""
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is boilerplate, and whether it is so in doubt."""
     if tag in BOILERPLATE_TAGS:
-        return True
+        return True, False
+    doubtful = False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         value = (m[2] or "").strip("\"'").lower()
         name = m[1].lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
+            if tag not in ("html", "body", "article", "main"):
+                if not BOILERPLATE_WORDS.isdisjoint(value.split()):
+                    return True, False
+                doubtful |= not BOILERPLATE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
         elif name == "role":
             if value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
-                return True
-        elif name == "hidden" or value == "true":
-            return True
-    return False
+                return True, False
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True, False
+    return False, doubtful
 
 
 def blocks_of(page: str) -> list[tuple[Block, str]]:
     """The page's blocks that have text, with it: white space evened, character references decoded."""
     out: list[tuple[Block, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, never
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, never, in doubt
     marked = never = links = content = 0
-    block = Block(False, False, False)
+    doubt: Doubt | None = None
+    block = Block(False, None, False, False)
 
     def close() -> None:
         nonlocal block
         if block.parts and (text := " ".join("".join(block.parts).split())):
             out.append((block, text))
-        heading = any(t in HEADINGS for t, _, _ in stack[-3:])
-        block = Block(marked > 0, content > 0, heading)
+        heading = any(t in HEADINGS for t, *_ in stack[-3:])
+        block = Block(marked > 0, doubt, content > 0, heading)
 
     def add(text: str) -> None:
         if text and not never:
@@ -109,11 +129,12 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
                 block.linked += len("".join(text.split()))
 
     def pop(tag: str) -> None:
-        nonlocal marked, never, links, content
+        nonlocal marked, never, links, content, doubt
         # An end tag closes what is open inside its element; without such an element it closes nothing.
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                for t, m, n in stack[i:]:
+                for t, m, n, d in stack[i:]:
+                    doubt = doubt.parent if d else doubt
                     marked -= m
                     never -= n
                     links -= t == "a"
@@ -155,7 +176,8 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
             # These end where the next of their kind begins, within the nearest other block.
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for t, mk, n in stack[i:]:
+                    for t, mk, n, d in stack[i:]:
+                        doubt = doubt.parent if d else doubt
                         marked -= mk
                         never -= n
                         links -= t == "a"
@@ -164,8 +186,12 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-        is_marked, is_never = _boilerplate(tag, m[3]), tag in NEVER
-        stack.append((tag, is_marked, is_never))
+        (is_marked, doubtful), is_never = _boilerplate(tag, m[3]), tag in NEVER
+        stack.append((tag, is_marked, is_never, doubtful))
+        if doubtful:
+            doubt = Doubt(doubt)
+        if tag in CONTENT_TAGS and not marked and not is_marked:
+            clear(doubt)
         marked += is_marked
         never += is_never
         links += tag == "a"
@@ -229,6 +255,11 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     for block, text in blocks:
         block.label = first_pass(block, text)
+        if block.label == "good":
+            clear(block.doubt)
+    for block, _ in blocks:
+        if block.doubt and not block.doubt.cleared:
+            block.label = "bad"
     second_pass(blocks)
     return "\n\n".join(text for block, text in blocks if block.label == "good")
 

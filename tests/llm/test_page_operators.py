@@ -40,6 +40,22 @@ def test_main_text(body, want):
     assert htmltext.main_text(page(body)) == want
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div style='overflow:hidden'><p>{PROSE}</p></div>", PROSE),
+        (f'<main data-title="hidden gems"><p>{PROSE}</p></main>', PROSE),
+        (f"<article style='overflow-x:hidden' data-hidden=true><p>{PROSE}</p></article>", PROSE),
+        (f"<div title='role=form' alt='a class=nav'><p>{PROSE}</p></div>", PROSE),
+        (f"<div class='content no-sidebar'><p>{PROSE}</p></div>", PROSE),
+        (f"<div id='content-sidebar-wrap'><div class='has-banner'><article><p>Short.</p></article></div><div class='site-footer'>Ring us</div></div>", "Short."),
+        (f"<p>{PROSE}</p><div hidden><p>{PROSE}</p></div><div class='x sidebar'><p>{PROSE}</p></div><p aria-hidden='true'>{PROSE}</p>", PROSE),
+    ],
+)
+def test_attributes_are_read_by_name(body, want):
+    assert htmltext.main_text(page(body)) == want
+
+
 def test_pages_that_are_cut_off():
     for end in ("An end that is cut <b", "An end that is cut &amp; <a href='/x", "An end that is cut <!-- no"):
         assert htmltext.main_text(f"<html><body><article><p>{PROSE}</p><p>{end}").split("\n\n")[1].startswith("An end that is cut")
