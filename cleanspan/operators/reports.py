@@ -20,9 +20,12 @@ def inspected(df: DataFrame, column: str, output: str = "inspection") -> DataFra
     return df.withColumn(output, inspection(F.col(column)))
 
 
-def findings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """A row for each finding: key, kind, offset, line, column, label, detail, code_point."""
-    record = df.select(key, inspection(F.col(column)).alias("i"))
+def findings(df: DataFrame, key: str, column: str, every: bool = False) -> DataFrame:
+    """A row for each finding: key, kind, offset, line, column, label, detail, code_point.
+
+    Without ``every``, for those that the inspection record lists: the first thousand of a kind in a text.
+    """
+    record = df.select(key, inspection(F.col(column), every).alias("i"))
 
     def rows(kind: str) -> Column:
         label, detail = KINDS[kind]

@@ -161,9 +161,10 @@ INSPECTION = INSPECTION.add("multilineCommand", T.BooleanType()).add("limitation
 CHANGES = T.StructType().add("hunks", T.ArrayType(_struct("line:i lines:i addedLines:i before:s after:s"))).add("omitted", T.IntegerType())
 
 
-def inspection(text: Column) -> Column:
-    """The inspection record of a text as a struct."""
-    return _over_batches(lambda t: scan.inspect(scan.checked(t)), INSPECTION)(text)
+def inspection(text: Column, every: bool = False) -> Column:
+    """The inspection record of a text as a struct; with ``every``, of all its findings, none omitted."""
+    most = None if every else scan.MAX_FINDINGS
+    return _over_batches(lambda t: scan.inspect(scan.checked(t), most), INSPECTION)(text)
 
 
 def changes(before: Column, after: Column) -> Column:

@@ -260,8 +260,8 @@ def checked(text: str) -> str:
 # --- Inspection ------------------------------------------------------------------------------------
 
 
-def _capped(rows: list) -> tuple[list, int]:
-    return rows[:MAX_FINDINGS], max(0, len(rows) - MAX_FINDINGS)
+def _capped(rows: list, most: int | None) -> tuple[list, int]:
+    return rows[:most], 0 if most is None else max(0, len(rows) - most)
 
 
 _FORMULA = None
@@ -283,8 +283,8 @@ def formula_cells(lines: list[str]) -> list[dict]:
     return found
 
 
-def inspect(text: str) -> dict:
-    """The inspection record of a validated text."""
+def inspect(text: str, most: int | None = MAX_FINDINGS) -> dict:
+    """The inspection record of a validated text, with at most so many findings of a kind; all of them for None."""
     places = Places(text)
 
     def at(start: int, **fields) -> dict:
@@ -295,12 +295,12 @@ def inspect(text: str) -> dict:
         return places.units(end) - places.units(start)
 
     events = list(invisible_events(text))
-    hidden, more_hidden = _capped([e for e in events if not e.is_run])
-    runs, more_runs = _capped([e for e in events if e.is_run])
-    secrets, more_secrets = _capped(secret_spans(text))
-    controls, more_controls = _capped(list(terminal_events(text)))
+    hidden, more_hidden = _capped([e for e in events if not e.is_run], most)
+    runs, more_runs = _capped([e for e in events if e.is_run], most)
+    secrets, more_secrets = _capped(secret_spans(text), most)
+    controls, more_controls = _capped(list(terminal_events(text)), most)
     lines = re.split(r"\r\n?|\n", text)
-    formulas, more_formulas = _capped(formula_cells(lines))
+    formulas, more_formulas = _capped(formula_cells(lines), most)
     return {
         "characters": places.units(len(text)),
         "bytes": len(text.encode()),

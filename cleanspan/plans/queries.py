@@ -238,6 +238,13 @@ def terminal_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query()
+def terminal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terminal controls of all documents by label; the SQL of terminal_controls leaves out documents with links."""
+    rows = reports.findings(dirty(spark, sf_dir), "doc_id", "t", every=True).where("kind = 'terminalControls'")
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT doc_id, least({_count_sql(TOKEN)}, 1000) AS n FROM {_dirty_sql()} WHERE contains(t, '{TOKEN}')")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(spark, sf_dir).where("kind = 'secretWarnings'")

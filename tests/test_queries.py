@@ -20,6 +20,15 @@ def database():
     return con
 
 
+def test_terminal_labels(spark):
+    """By the pieces that are put in: hyperlinks with their ends and colours, in documents with links too."""
+    texts = [r.t for r in plans.dirty(spark, DATA).select("t").collect()]
+    n = {name: sum(t.count(piece) for t in texts) for name, piece in {"start": "\x1b]8;;h", "end": "\x1b]8;;\x07", "colour": "\x1b["}.items()}
+    got = {r.label: r.n for r in plans.terminal_labels(spark, DATA).collect()}
+    assert got == {"terminal hyperlink": n["start"], "terminal hyperlink end": n["end"], "terminal colour or style sequence": n["colour"]}
+    assert n["start"] == n["end"] > 0 and plans.terminal_controls(spark, DATA).first().n <= n["colour"]
+
+
 def rows(columns, values):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     plain = [tuple(None if isinstance(v[i], float) and math.isnan(v[i]) else v[i] for i in order) for v in values]
