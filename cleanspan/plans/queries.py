@@ -292,7 +292,7 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grouped_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.grouped(found(spark, sf_dir), "doc_id")
+    return reports.grouped(reports.findings(dirty(spark, sf_dir), "doc_id", "t", every=True), "doc_id")
 
 
 def queries() -> dict[str, Query]:

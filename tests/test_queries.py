@@ -29,6 +29,15 @@ def test_terminal_labels(spark):
     assert n["start"] == n["end"] > 0 and plans.terminal_controls(spark, DATA).first().n <= n["colour"]
 
 
+def test_grouped_hidden_takes_all(spark, tmp_path):
+    """Runs past the thousandth hidden character of a text count too."""
+    text = " the a" * 1500
+    spark.createDataFrame([(1, text.replace(" a", " the a"), "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sum(plans.dirty(spark, str(tmp_path)).first().t.count(c) for c in "\u00a0\u200b")
+    got = plans.grouped_hidden(spark, str(tmp_path)).collect()
+    assert sum(r["count"] for r in got) == want > 1000
+
+
 def rows(columns, values):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     plain = [tuple(None if isinstance(v[i], float) and math.isnan(v[i]) else v[i] for i in order) for v in values]
