@@ -2,10 +2,11 @@
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after
 the other. Each worker keeps the ids of words that it has met, as little-endian unsigned 32-bit bytes; a
-text is then one join of cached pieces. The cache is bounded and starts anew when full.
+text is then one join of cached pieces. The cache is bounded: when it is full its words become the old generation, of
+which those that come again are taken over.
 
 Most words are a run of letters and perhaps a run of punctuation. The tokenizer's own pattern parts the two, and
-its normalizer only lower-cases them, so each run goes straight to the library's model; all other words go
+its normalizer only lower-cases them, so the letters go straight to the library's model; all other words go
 through the whole library. Tests hold the two ways against each other.
 """
 
@@ -16,11 +17,12 @@ import re
 import struct
 import unicodedata
 
-CACHE_WORDS = 1_000_000
-#: Letters, then ASCII punctuation but for the apostrophe, which starts pieces of its own.
-SIMPLE = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-#: The first code point past the Latin, Greek and Cyrillic letters.
-FIRST_OTHER = "֐"
+#: Words of a generation of the cache, of which there are two.
+CACHE_WORDS = 700_000
+#: ASCII punctuation but for the apostrophe, which starts pieces of its own.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of ASCII letters and of the code points below U+0580: Latin, Greek, Cyrillic, Armenian.
+LETTERS = re.compile(rb"[A-Za-z\x80-\xd5]+")
 _held: dict[str, WordEncoder] = {}
 
 
@@ -31,74 +33,70 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class Words(dict):
+    """Ids of words; learns those that it misses."""
+
+    def __init__(self, learn, limit: int):
+        super().__init__()
+        self.learn, self.limit, self.old = learn, limit, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """``encode(text)`` gives the ids of a text as bytes, four to an id."""
+    """``encode(text)`` gives the ids of a text, a string or its UTF-8 bytes, as bytes, four to an id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.cache: dict[bytes, bytes] = {}
-
-    def look_up(self, words: list[bytes]) -> None:
-        """Adds words to the cache with the ids that the whole library gives them."""
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.cache[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-
-    def piece(self, lower: bytes) -> bytes:
-        """Ids of a run of lower-case letters or of punctuation, from the library's model."""
-        if (known := self.cache.get(lower)) is None:
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Words(self.learn, limit)
+
+    def learn(self, word: bytes) -> bytes:
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            lower = stem.lower()
+        elif LETTERS.fullmatch(stem):
+            lower = lowered(stem)
+        else:
+            lower = None
+        if lower is None:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        known = self.words.get(lower)
+        if known is None:
             text = lower.decode() if lower.isascii() else "".join(map(self.letters.__getitem__, lower))
-            ids = [t.id for t in self.model.tokenize(text)]
-            known = self.cache[lower] = struct.pack(f"<{len(ids)}I", *ids)
-        return known
-
-    def learn(self, words: list[bytes]) -> None:
-        others = []
-        for word in words:
-            m = SIMPLE.fullmatch(word)
-            lower = lowered(m[1]) if m else None
-            if lower is None:
-                others.append(word)
-            elif m[2]:
-                self.cache[word] = self.piece(lower) + self.piece(m[2])
-            else:
-                self.cache[word] = self.piece(lower)
-        self.look_up(others)
-
-    def encode(self, text: str | None) -> bytes:
-        words = text.encode().split() if text else []
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            own = set(words)
-            new = [w for w in own if w not in self.cache]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache, new = {}, list(own)
-            if len(new) > CACHE_WORDS:
-                return self._whole(text)
-            self.learn(new)
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def _whole(self, text: str) -> bytes:
-        """A text with more different words than the cache holds."""
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            known = b"".join([self.packed[t.id] for t in self.tokenize(text)])
+            if len(word) != len(lower):
+                self.words[lower] = known
+        return known if len(stem) == len(word) else known + self.words[word[len(stem) :]]
+
+    def encode(self, text: str | bytes | None) -> bytes:
+        if not text:
+            return b""
+        raw = text if isinstance(text, bytes) else text.encode()
+        return b"".join(map(self.words.__getitem__, raw.split()))
 
 
 def lowered(letters: bytes) -> bytes | None:
-    """A run in lower case; None if it is not made of composed letters only, or if its case is not plain."""
-    if letters.isascii():
-        return letters.lower()
+    """A run of letters in UTF-8 in lower case; None if it is not made of composed letters only, or if its case is not plain."""
     text = letters.decode()
-    if max(text) >= FIRST_OTHER or not text.isalpha() or not unicodedata.is_normalized("NFC", text):
+    if not text.isalpha() or not unicodedata.is_normalized("NFC", text):
         return None
-    lower = "".join(c.lower() for c in text)  # letter by letter, as the library does
+    # The library goes letter by letter; so does Python but for a sigma at a word's end.
+    lower = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
     return lower.encode() if lower.isalpha() else None
 
 
@@ -113,3 +111,9 @@ def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def raw_texts(column):
+    """UTF-8 bytes of an Arrow string column one by one, None for null, without a decoded copy."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else None
