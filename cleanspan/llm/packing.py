@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, raw_texts
 
 CAPACITY = 4096
 QUANTUM = 128
 END_ID = 2
 #: The pricing stops when the best new pattern would save less than this share of a sequence.
 TOLERANCE = 1e-6
+#: Rounds of the simplex for each length, at most, and how often its inverse is made anew.
+ROUNDS = 60
+REFACTOR = 64
 #: Pieces of one length are numbered in parts, by document: so many, and more once a part would pass so many rows.
 PARTS = 64
 PART_ROWS = 1_000_000
@@ -58,8 +61,8 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
         encode = encoder(path).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                ids = encode(text) + end
                 n = len(ids) // 4
                 for start, length in cuts(n, capacity, quantum):
                     for column, value in zip(out, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n), strict=True):
@@ -73,57 +76,87 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
 
 
 def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming over the room: the pattern of highest price that fits."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    order = np.argsort(lengths, kind="stable")
-    sorted_lengths, sorted_prices = lengths[order], prices[order]
-    fitting = np.searchsorted(sorted_lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if k := fitting[room]:
-            values = best[room - sorted_lengths[:k]] + sorted_prices[:k]
-            i = int(values.argmax())
-            if values[i] > best[room] + 1e-12:
-                best[room], took[room] = values[i], order[i]
-    pattern = np.zeros(len(lengths), dtype=np.int64)
-    room = capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            pattern[took[room]] += 1
-            room -= lengths[took[room]]
-    return best[capacity], pattern
+    """Unbounded knapsack by dynamic programming over the room: the pattern of highest price that fits.
 
-
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    A length is taken in for all rooms at once: rooms that differ by whole multiples of it make a column, in which the best
+    number of pieces is a running maximum of the price before it less the pieces passed.
+    """
+    best = np.zeros(capacity + 1)
+    paying = np.nonzero(prices > 0)[0]
+    for i in paying[np.argsort(lengths[paying], kind="stable")].tolist():
+        length = int(lengths[i])
+        rows = capacity // length + 1
+        grid = np.full(rows * length, -np.inf)
+        grid[: capacity + 1] = best
+        passed = (np.arange(rows) * prices[i])[:, None]
+        best = (np.maximum.accumulate(grid.reshape(rows, length) - passed, axis=0) + passed).reshape(-1)[: capacity + 1]
+    best = np.maximum.accumulate(best)
+    pattern, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    while True:  # back from the full room: a last piece that explains the price, until none does
+        fits = paying[lengths[paying] <= room]
+        if not len(fits):
+            break
+        values = best[room - lengths[fits]] + prices[fits]
+        k = int(values.argmax())
+        if values[k] <= 1e-12 or values[k] < best[room] - 1e-9:
+            break
+        pattern[fits[k]] += 1
+        room -= int(lengths[fits[k]])
+    return float(prices @ pattern), pattern
+
+
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by row operations with pivots, in this thread only: a library's threads would wait for each other in a
+    driver whose cores are busy."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for c in range(m):
+        pivot = c + int(np.abs(work[c:, c]).argmax())
+        if pivot != c:
+            work[[c, pivot]] = work[[pivot, c]]
+        work[c] /= work[c, c]
+        factors = work[:, c].copy()
+        factors[c] = 0
+        work -= factors[:, None] * work[c]
+    return work[:, m:]
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and their fractional counts that solve the linear program.
 
     Revised simplex: the basis has one pattern for each length; the pattern that the knapsack prices above one
-    sequence enters, the first to reach zero leaves.
+    sequence enters, the first to reach zero leaves. The inverse is updated by the pivot and made anew every
+    ``REFACTOR`` rounds. After ``rounds``, by default ``ROUNDS`` for each length, the basis at hand is taken, which is a
+    solution as well, if not the best one.
     """
     m = len(lengths)
     basis = np.diag(np.maximum(capacity // lengths, 1)).astype(float)  # columns are patterns
+    inverse = np.diag(1 / np.diag(basis))
     # Demands are moved apart a little, so that no two patterns reach zero at once and the simplex cannot cycle.
     rhs = demand * (1 + 1e-7 * np.arange(1, m + 1) / m)
-    for _ in range(60 * m + 200):
-        inverse = np.linalg.inv(basis)
-        x = inverse @ rhs
+    for step in range(1, (ROUNDS * m if rounds is None else rounds) + 1):
+        x = (inverse * rhs).sum(axis=1)
         value, pattern = best_pattern(lengths, np.maximum(inverse.sum(axis=0), 0), capacity)
-        if value <= 1 + max(TOLERANCE, 1e-9):
+        if value <= 1 + TOLERANCE:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         ok = direction > 1e-10
         if not ok.any():
             break
         ratios = np.full(m, np.inf)
         ratios[ok] = np.maximum(x[ok], 0) / direction[ok]
-        basis[:, int(ratios.argmin())] = pattern
+        leaves = int(ratios.argmin())
+        basis[:, leaves] = pattern
         # By Farley's bound no solution has fewer than sum(x) / value sequences.
         if np.maximum(x, 0).sum() * (1 - 1 / value) < 0.25:
             break
-    x = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
+        if step % REFACTOR:
+            inverse[leaves] /= direction[leaves]
+            direction[leaves] = 0
+            inverse -= direction[:, None] * inverse[leaves]
+        else:
+            inverse = inverse_of(basis)
+    x = np.maximum((inverse_of(basis) * demand).sum(axis=1), 0)
     return basis.T.round().astype(np.int64), x
 
 
