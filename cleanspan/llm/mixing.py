@@ -4,17 +4,19 @@
    source's words, the excess being shared again by weight.
 2. Each source's documents are shuffled by hash and laid end to end; that stream, repeated, is cut into blocks
    of equally many words.
-3. Slot i of the schedule takes point i of the van der Corput sequence, maps it through the cumulative targets
-   to a source, and is that source's next block: slots are ranked within their source.
-4. Documents meet the slots of their blocks in a join on (source, block number); what their blocks cover up to
-   the source's target is what the mix takes of them.
+3. Slot i of the schedule takes point i of the van der Corput sequence and maps it through the cumulative targets
+   to a source, which gives its next block: slots are ranked within their source. There are as many points as blocks in the
+   budget, and they alone decide how many blocks a source gives, and where in the mix each stands.
+4. A document's copy, which is its place in one round of its source's stream, meets the slot of the block that it begins in,
+   by a join on (source, block number). Slot and place in the block are its position in the mix, which no other copy has.
 
-The discrepancy of the sequence keeps each source within some log(n) slots of its share at any point of the
-mix; the last slots of a source end at its target exactly.
+The discrepancy of the sequence keeps each source within some log(n) blocks of its share at any point of the
+mix, so also at its end. Blocks have ``BLOCK_WORDS`` words, or fewer in a small mix, which has ``SLOTS`` of them at least.
 
 Defined results: a null text has size 0; the null source is a source of its own, last in order; documents of
-size 0 are taken 0 times; rows equal in id and text lie next to each other in their stream; an empty table
-gives an empty table; further columns stay as they are, whatever their names.
+size 0 are taken 0 times; rows equal in id and text lie next to each other in their stream, in either order; there are no
+other ties, as streams are ordered by hash, id and size; a text of any length is one document, taken in part where its
+source's blocks end in it; an empty table gives an empty table; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,26 +30,33 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 8192
-#: Buckets of each source in which documents are ordered; the order of the buckets makes up the stream. So many, and
-#: more once a bucket would pass so many rows.
-BUCKETS = 1024
+SLOTS = 1 << 20
+#: Buckets of each source in which documents are ordered, by so many hexadecimal digits of their hash; the order of the
+#: buckets makes up the stream. One more digit once a bucket would pass so many rows.
+DIGITS = 3
 BUCKET_ROWS = 1_000_000
 #: Cells of [0, 1) in which slots meet the ranges of sources.
 GRID = 1024
 #: Slots that are ranked in one piece.
 RANKED = 65536
 #: Binary digits of the sequence: it repeats after 2 ** 48 slots.
-DIGITS = 48
+BITS = 48
+
+
+def dice(doc_id: Column, text: Column) -> Column:
+    """The shuffle key: a hash of id and text."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_of(text)).cast("binary"))
+
+
+def source_of(source: Column) -> Column:
+    """The source as a value that is never null and orders null last."""
+    return F.struct(source.isNull().alias("absent"), F.coalesce(source, F.lit("")).alias("name"))
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, size, and the shuffle key of each document; the source as a value that is never null."""
-    return documents.select(
-        "doc_id",
-        F.struct(F.col("source").isNull().alias("absent"), F.coalesce("source", F.lit("")).alias("name")).alias("src"),
-        n_words(text_of("text")).alias("size"),
-        F.xxhash64(F.lit("mix"), "doc_id", "text").alias("dice"),
-    )
+    """doc_id, src, size and dice of each document."""
+    key = dice(F.col("doc_id"), F.col("text"))
+    return documents.select("doc_id", source_of(F.col("source")).alias("src"), n_words(text_of("text")).alias("size"), key.alias("dice"))
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -73,79 +82,92 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeat
 
 def van_der_corput(i: Column) -> Column:
     """Point i of the base-2 sequence, in [0, 1)."""
-    digits = F.reverse(F.lpad(F.bin(i), DIGITS, "0"))
-    return F.conv(digits, 2, 10).cast("double") / float(2**DIGITS)
+    digits = F.reverse(F.lpad(F.bin(i), BITS, "0"))
+    return F.conv(digits, 2, 10).cast("double") / float(2**BITS)
 
 
-def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Slots (src, turn, slot): ``turn`` counts the slots of a source from 0, ``slot`` is its place in the mix.
+def schedule(goals: DataFrame, slots: int, sequence=van_der_corput) -> DataFrame:
+    """src, turn, slot: the sources of slots 0 to ``slots - 1`` by their points, and which block of its source each is.
 
-    ``goals`` has src and ``words``, how many words the source gives. One point is drawn for each block of all
-    sources. Points past a source's last block are void; the few blocks that the points missed come last.
+    ``goals`` has src and target, one row a source.
     """
-    spark = goals.sparkSession
-    plan = goals.where("words > 0").select("src", F.ceil(F.col("words") / block).alias("blocks"))
-    total = plan.agg(F.sum("blocks")).first()[0] or 0
-    # Ranges of [0, 1) by source, and the grid cells that each touches: slots meet them by cell, in equal parts.
-    upto = F.sum("blocks").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
-    ranges = plan.select("src", "blocks", ((upto - F.col("blocks")) / max(total, 1)).alias("lo"), (upto / max(total, 1)).alias("hi"))
+    # Ranges of [0, 1) by source, and the grid cells that each touches: points meet them by cell, in equal parts.
+    upto = F.sum("target").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("target").over(Window.partitionBy())
+    ranges = goals.where("target > 0").select("src", ((upto - F.col("target")) / whole).alias("lo"), (upto / whole).alias("hi"))
     ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1).cast("long")))))
-    points = spark.range(total).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("x"))
+    points = goals.sparkSession.range(slots).select(F.col("id").alias("slot"), sequence(F.col("id")).alias("x"))
     hits = points.withColumn("cell", F.floor(F.col("x") * GRID)).join(ranges, "cell").where("x >= lo AND x < hi")
-    hits = hits.select("src", "blocks", "slot", F.floor(F.col("slot") / RANKED).alias("chunk"))
+    hits = hits.select("src", "slot", F.floor(F.col("slot") / RANKED).alias("chunk"))
     # Ranks within a source: counts of each run of slots, then row numbers inside the run.
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = hits.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     counts = counts.select("src", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("src", "chunk").orderBy("slot")
     ranked = hits.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["src", "chunk"])
-    drawn = ranked.select("src", (F.col("first") + F.col("place")).alias("turn"), "slot")
-    needed = plan.select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("turn"))
-    return needed.join(drawn, ["src", "turn"], "left").select("src", "turn", F.coalesce("slot", F.lit(total) + F.col("turn")).alias("slot"))
+    return ranked.select("src", (F.col("first") + F.col("place")).alias("turn"), "slot")
+
 
+def streams(
+    documents: DataFrame, block: int | None = None, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, sequence=van_der_corput
+) -> tuple[DataFrame, DataFrame, int]:
+    """The documents in their sources' streams, the schedule, and the words of a block.
 
-def planned(documents: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row per document: doc_id, dice, src, size, source_size, target, taken, start (its place in its source's
-    stream) and first_slot (null if the mix takes nothing of it)."""
+    Of each document: doc_id, dice, src, size, source_size, target, ``given`` (the words that its source gives) and start (its
+    place in its source's stream).
+    """
     records = stored(sized(documents), "mix-sizes")
-    buckets = max(BUCKETS, -(-records.count() // BUCKET_ROWS))
-    records = records.withColumn("bucket", F.pmod("dice", F.lit(buckets)).cast("int"))
+    rows, digits = records.count(), DIGITS
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    records = records.withColumn("bucket", F.left("dice", F.lit(digits)))
     cells = records.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    goals = targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, max_repeat)
-    goals = stored(goals.withColumn("words", F.floor(F.col("target") + 0.5)), "mix-targets")
+    goals = stored(targets(cells.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share, max_repeat), "mix-targets")
+    words = goals.agg(F.sum("target")).first()[0] or 0.0
+    block = block or max(1, min(BLOCK_WORDS, int(words // SLOTS)))
+    drawn = stored(schedule(goals, -int(-words // block), sequence), "mix-schedule")
+    blocks = drawn.groupBy("src").agg(F.count("*").alias("blocks"))
+    # No document more than max_repeat times, whatever the points.
+    given = F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * max_repeat)
+    goals = goals.join(blocks, "src", "left").select("src", "source_size", "target", given.alias("given"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("dice", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = records.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.join(goals, "src"), ["src", "bucket"])
-    rows = rows.select("doc_id", "dice", "src", "size", "source_size", "target", "words", (F.col("before") + F.col("inside")).alias("start"))
-    rows = stored(rows, "mix-streams")
-    # Each time the document comes round in the repeated stream, and each block that it touches there.
-    a = F.col("round") * F.col("source_size") + F.col("start")
-    spans = rows.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
-    spans = spans.withColumns({"a": a, "b": F.least(a + F.col("size"), F.col("words"))}).where("a < b")
-    spans = spans.withColumn("turn", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
-    part = F.least("b", (F.col("turn") + 1) * block) - F.greatest("a", F.col("turn") * block)
-    keys = ["doc_id", "dice", "src", "size", "source_size", "target", "words", "start"]
-    met = spans.join(schedule(goals, block), ["src", "turn"]).groupBy(*keys)
-    taken = met.agg(F.sum(part).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
-    # Documents past their source's target, and empty ones, meet no block.
-    rest = rows.where("size = 0 OR start >= words").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
-    return taken.unionByName(rest).drop("words")
-
-
-def mix(documents: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each as often as the mix takes it, to the nearest whole number of times.
-
-    Repeated rows are kept apart by numbering them on both sides of the join.
+    placed = records.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts.join(goals, "src"), ["src", "bucket"])
+    placed = placed.select("doc_id", "dice", "src", "size", "source_size", "target", "given", (F.col("before") + F.col("inside")).alias("start"))
+    return placed, drawn, block
+
+
+def part_in(round_: Column) -> Column:
+    """Words that the mix takes of a document in a round of its source's stream."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("given") - round_ * F.col("source_size") - F.col("start")))
+
+
+def planned(documents: DataFrame, max_repeat: int = MAX_REPEAT, **options) -> DataFrame:
+    """One row per document: doc_id, dice, src, size, source_size, target, start (its place in its source's stream), taken and
+    first_slot (of its first copy; null if the mix takes nothing of it)."""
+    placed, drawn, block = streams(documents, max_repeat=max_repeat, **options)
+    taken = sum((part_in(F.lit(r)) for r in range(max_repeat)), F.lit(0)).cast("long")
+    placed = placed.withColumn("taken", taken).withColumn("turn", F.when(F.col("taken") > 0, F.floor(F.col("start") / block)))
+    met = placed.join(drawn.withColumnRenamed("slot", "first_slot"), ["src", "turn"], "left")
+    return met.select("doc_id", "dice", "src", "size", "source_size", "target", "start", "taken", "first_slot")
+
+
+def mix(documents: DataFrame, max_repeat: int = MAX_REPEAT, **options) -> DataFrame:
+    """The mixed documents in the order of the mix: each copy of which the mix takes half or more, at its position.
+
+    Repeated rows are told apart by numbering them on both sides of the join; rows equal in id, text and source may swap places.
     """
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = planned(documents, **options).where("size > 0").select("doc_id", "dice", "start", times.alias("times")).where("times > 0")
-    every = Window.partitionBy("id", "dice")
-    plan = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "dice", "start", "times")
-    plan = plan.withColumn("copy", F.row_number().over(every.orderBy("start"))).drop("start")
-    keyed = documents.select(
-        F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("dice"), "source"
+    placed, drawn, block = streams(documents, max_repeat=max_repeat, **options)
+    same = Window.partitionBy("id", "dice", "src")
+    keyed = placed.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("copy", F.row_number().over(same.orderBy("start")))
+    copies = keyed.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
+    at = F.col("round") * F.col("source_size") + F.col("start")
+    copies = copies.where(part_in(F.col("round")) * 2 >= F.col("size")).withColumns({"at": at, "turn": F.floor(at / block)})
+    copies = copies.join(drawn, ["src", "turn"]).select("id", "dice", "src", "copy", (F.col("slot") * block + F.col("at") - F.col("turn") * block).alias("position"))
+    rows = documents.select(
+        F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-1)).alias("id"), dice(F.col("doc_id"), F.col("text")).alias("dice"), source_of(F.col("source")).alias("src")
     )
-    keyed = keyed.withColumn("copy", F.row_number().over(every.orderBy("source")))
-    met = keyed.join(plan, ["id", "dice", "copy"])
-    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    rows = rows.withColumn("copy", F.row_number().over(same.orderBy(F.lit(0))))
+    met = rows.join(copies, ["id", "dice", "src", "copy"])
+    return met.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

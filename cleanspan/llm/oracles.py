@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-from . import quality
+from . import mixing, quality
 
 
 _WARC = """
@@ -75,4 +75,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM base LEFT JOIN pair USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_divergence": _QUALITY, "op7_warc_round_trip": _WARC, "op8_threshold_top_k": _TOP_K}
+_MIX = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS dice
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(k - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+f AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS rate
+  FROM w WINDOW earlier AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT rate FROM f WHERE rate * weight <= cap ORDER BY cap / weight, k LIMIT 1),
+t AS (SELECT source, k, source_size, coalesce(least(cap, (SELECT rate FROM r) * weight), cap) AS target FROM f),
+b AS (SELECT sum(target) AS words, greatest(1, least({mixing.BLOCK_WORDS}, floor(sum(target) / {mixing.SLOTS})))::BIGINT AS block FROM t),
+g AS (
+  SELECT t.*, (sum(target) OVER (ORDER BY k) - target) / (SELECT words FROM b) AS lo, sum(target) OVER (ORDER BY k) / (SELECT words FROM b) AS hi
+  FROM t),
+p AS (
+  SELECT i AS slot, reverse(lpad(bin(i), {mixing.BITS}, '0'))::BIT::BIGINT / pow(2, {mixing.BITS}) AS x
+  FROM (SELECT unnest(range((SELECT ceil(words / block)::BIGINT FROM b))) AS i)),
+h AS (SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS turn FROM p JOIN g ON x >= lo AND x < hi),
+n AS (SELECT k, least(count(*) * any_value(block), 2 * any_value(source_size))::BIGINT AS given FROM h JOIN t USING (k), b GROUP BY k),
+e AS (
+  SELECT doc_id, size, source_size, target, t.k, coalesce(given, 0) AS given,
+         coalesce(sum(size) OVER (PARTITION BY t.k ORDER BY dice, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n USING (k)),
+m AS (SELECT *, greatest(0, least(size, given - start)) + greatest(0, least(size, given - source_size - start)) AS taken FROM e)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, slot AS first_slot
+FROM m CROSS JOIN b LEFT JOIN h ON taken > 0 AND h.k = m.k AND h.turn = m.start // block
+"""
+
+ORACLES: dict[str, str] = {"op4_low_discrepancy_mixing": _MIX, "op1_quality_divergence": _QUALITY, "op7_warc_round_trip": _WARC, "op8_threshold_top_k": _TOP_K}

@@ -216,28 +216,73 @@ def water_filled(sizes):
     return target
 
 
-@pytest.mark.parametrize("block", [7, mixing.BLOCK_WORDS])
-def test_mixing(odd, odd_rows, none, block):
-    got = mixing.planned(odd, block=block).collect()
-    sizes = Counter()
-    for r in odd_rows:
-        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+def reversed_bits(i):
+    return int(f"{i:048b}"[::-1], 2) / 2**48
+
+
+def brute_mix(rows, block, point):
+    """(doc_id, size, taken, first slot) of each row and the positions of all copies, by drawing slot after slot."""
+    sizes, lines = Counter(), defaultdict(list)
+    for r in rows:
+        n = len(WORD.findall(r[1] or ""))
+        sizes[r[3]] += n
+        key = hashlib.md5(f"{'' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()
+        lines[r[3]].append((key, -1 if r[0] is None else r[0], n, r[0]))
     target = water_filled(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    words = sum(target.values())
+    drawn = defaultdict(list)
+    for slot in range(-int(-words // block)):
+        at, x = 0.0, point(slot)
+        for s in order:
+            at += target[s]
+            if x < at / words:
+                drawn[s].append(slot)
+                break
+    out, copies = Counter(), []
+    for s, line in lines.items():
+        given, at = min(len(drawn[s]) * block, 2 * sizes[s]), 0
+        for _, _, n, doc in sorted(line):
+            parts = [max(0, min(n, given - r * sizes[s] - at)) for r in (0, 1)]
+            out[(doc, n, sum(parts), drawn[s][at // block] if sum(parts) else None)] += 1
+            for r, part in enumerate(parts):
+                if n and 2 * part >= n:
+                    begin = r * sizes[s] + at
+                    copies.append((drawn[s][begin // block] * block + begin % block, doc))
+            at += n
+    return out, [doc for _, doc in sorted(copies)], target
+
+
+def golden(i):
+    return F.pmod(i * F.lit(0.6180339887498949), F.lit(1.0))
+
+
+@pytest.mark.parametrize("block, sequence, point", [(7, mixing.van_der_corput, reversed_bits), (640, mixing.van_der_corput, reversed_bits), (97, golden, lambda i: i * 0.6180339887498949 % 1)])
+def test_mixing(odd, odd_rows, none, block, sequence, point):
+    want, order, target = brute_mix(odd_rows, block, point)
+    got = mixing.planned(odd, block=block, sequence=sequence).collect()
+    assert Counter((r.doc_id, r["size"], r.taken, r.first_slot) for r in got) == want
     taken = Counter()
     for r in got:
         source = None if r.src.absent else r.src.name
         taken[source] += r.taken
-        assert r.taken <= 2 * r["size"] and r.source_size == sizes[source] and r.target == pytest.approx(target[source])
-    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in odd_rows)
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    again = mixing.planned(odd.repartition(5), block=block).collect()
-    assert sorted((r.dice, r.start, r.taken, r.first_slot or -1) for r in again) == sorted((r.dice, r.start, r.taken, r.first_slot or -1) for r in got)
+        assert r.target == pytest.approx(target[source]) and r.taken <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 12 * block for s in target)
+    mixed = mixing.mix(odd, block=block, sequence=sequence)
+    assert [r.doc_id for r in mixed.collect()] == order and mixed.columns == odd.columns
+    assert len(set(order)) < len(order)
+    again = mixing.planned(odd.repartition(5), block=block, sequence=sequence).collect()
+    assert Counter((r.dice, r.start, r.taken, r.first_slot) for r in again) == Counter((r.dice, r.start, r.taken, r.first_slot) for r in got)
     assert mixing.planned(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_mix_repeats_documents(odd):
-    plan = mixing.planned(odd).where("size > 0").select(F.floor(F.col("taken") / F.col("size") + 0.5).alias("n"))
-    assert mixing.mix(odd).count() == plan.agg(F.sum("n")).first()[0] and mixing.mix(odd).columns == odd.columns
+def test_the_points_decide_the_mix(odd):
+    """Another sequence gives another mix: other amounts, other places."""
+    amounts, orders = [], []
+    for sequence in (mixing.van_der_corput, golden, lambda i: i * 0.0):
+        amounts.append({(r.dice, r.start): r.taken for r in mixing.planned(odd, block=640, sequence=sequence).collect()})
+        orders.append([r.doc_id for r in mixing.mix(odd, block=640, sequence=sequence).collect()])
+    assert amounts[0] != amounts[2] and orders[0] != orders[1] and len(set(orders[2])) < len(set(orders[0]))
 
 
 def test_van_der_corput(spark):
