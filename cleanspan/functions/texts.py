@@ -36,10 +36,17 @@ def size_metrics(text: Column) -> Column:
     return let(text, measures)
 
 
-def validate(text: Column, limit: int = MAX_TEXT_UNITS) -> Column:
-    """The text with NUL made visible as U+FFFD; fails the query on a text of more units than the limit."""
+def show_nul(text: Column) -> Column:
+    """The text with NUL made visible as U+FFFD."""
+    return F.replace(text, F.lit("\0"), F.lit("\ufffd"))
+
+
+def validate(text: Column, limit: int | None = MAX_TEXT_UNITS) -> Column:
+    """The text with NUL made visible; fails the query on a text of more units than the limit, if there is one."""
+    if limit is None:
+        return show_nul(text)
     message = F.lit(f"Text is limited to {limit:,} characters.")
-    return let(text, lambda t: F.when(utf16_length(t) > limit, F.raise_error(message)).otherwise(F.translate(t, "\0", "\ufffd")))
+    return let(text, lambda t: F.when(utf16_length(t) > limit, F.raise_error(message)).otherwise(show_nul(t)))
 
 
 def is_too_long(text: Column, limit: int = MAX_TEXT_UNITS) -> Column:
@@ -81,18 +88,25 @@ def formula_lines(text: Column) -> Column:
 
 # --- Rules of one character at a time ----------------------------------------------------------------
 
+#: Nothing below it is removed by the rules for invisible characters: one comparison for most characters of most texts.
+RARE = "(?=[\u00ad\u034f-\U0010ffff])"
+
+
+def without(text: Column, candidates: str, pattern: str, instead: str = "") -> Column:
+    """Replaces a pattern in the texts that have one of the candidate characters; others are looked at once and stay."""
+    return let(text, lambda t: F.when(t.rlike(f"{RARE}[{candidates}]"), F.regexp_replace(t, pattern, instead)).otherwise(t))
+
 
 def normalise_line_endings(text: Column) -> Column:
     return F.regexp_replace(text, "\\r\\n?|[\u2028\u2029]", "\n")
 
 
 def replace_spaces(text: Column) -> Column:
-    spaces = members("space")
-    return F.translate(text, spaces, " " * len(spaces))
+    return F.regexp_replace(text, f"(?=[\u00a0-\uffff])[{members('space')}]", " ")
 
 
 def normalise_quotes(text: Column) -> Column:
-    return F.translate(text, "\u2018\u2019\u201c\u201d", "''\"\"")
+    return F.regexp_replace(F.regexp_replace(text, "[\u2018\u2019]", "'"), "[\u201c\u201d]", '"')
 
 
 def trim_trailing_space(text: Column) -> Column:
@@ -100,7 +114,7 @@ def trim_trailing_space(text: Column) -> Column:
 
 
 def remove_directional(text: Column) -> Column:
-    return F.translate(text, members("directional"), "")
+    return without(text, members("directional"), f"{RARE}[{members('directional')}]")
 
 
 def remove_zero_width(text: Column) -> Column:
@@ -109,16 +123,53 @@ def remove_zero_width(text: Column) -> Column:
     alone = rf"(?:(?<!{script}\u200c)|(?!{script}))"
     not_script = alone.replace(r"\u200c", r"[\u200c\u200d]")
     not_emoji = rf"(?:(?<![{classes.before_joiner()}]\u200d)|(?![{classes.pictographic()}]))"
-    pattern = rf"[{classes.ALWAYS_INVISIBLE}]|\u200d{not_emoji}{not_script}|\u200c{not_script}"
-    return F.regexp_replace(text, pattern, "")
+    pattern = rf"{RARE}(?:[{classes.ALWAYS_INVISIBLE}]|\u200d{not_emoji}{not_script}|\u200c{not_script})"
+    return without(text, classes.ALWAYS_INVISIBLE + "\u200c\u200d", pattern)
 
 
 def remove_payloads(text: Column) -> Column:
-    """Tag characters but for flags, variation selectors but for one after a visible character."""
+    """Tag characters but for flags, variation selectors but for one after a visible character.
+
+    Every alternative begins with the candidate itself, so other characters are passed by after one comparison.
+    """
     tag, selector = classes.TAGS, classes.SELECTORS
     flag = f"{classes.FLAG}[\U000e0020-\U000e007e]+\U000e007f(?![{tag}])"
-    styled = f"[^{classes.SPACE}{classes.CONTROL}{classes.FORMAT}{selector}][{selector}](?![{selector}])"
-    return F.regexp_replace(text, f"({flag}|{styled})|[{classes.TAG_START}][{tag}]*+|[{selector}]++", "$1")
+    visible = f"[^{classes.SPACE}{classes.CONTROL}{classes.FORMAT}{selector}]"
+    pattern = f"{RARE}(?:({flag})|[{classes.TAG_START}][{tag}]*+|[{selector}]{{2,}}+|[{selector}](?<!{visible}[{selector}]))"
+    return without(text, classes.TAG_START + selector, pattern, "$1")
+
+
+# --- Terminal controls -------------------------------------------------------------------------------
+
+#: The first byte of anything that a terminal obeys.
+CONTROL = r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+_COMMAND = r"(?:\x1b\]|\x9d)(?s:.*?)"
+_DEVICE = r"(?:\x1b[PX^_]|[\x90\x98\x9e\x9f])(?s:.*?)"
+_STOP = r"(?:\x1b\\|\x9c)"
+_SHORT = rf"(?:\x1b\[|\x9b)[0-?]*[ -/]*[@-~]|\x1b[ -/]*[0-~]|{CONTROL}"
+
+
+def strip_terminal_controls(text: Column) -> Column:
+    """Terminal controls go, each with the span that a terminal would take.
+
+    A text is cut after its last string terminator and after its last bell. Before the first cut every string that begins
+    also ends, between the cuts every command does, and after them nothing does and only introducers go. So no search for
+    an end fails, and the time is linear in the text.
+    """
+
+    def cleaned(t: Column) -> Column:
+        def after(start: Column, done: Column) -> Column:
+            return F.substring(start, F.length(done) + 1, F.length(start))
+
+        def parts(closed: Column, rest: Column) -> Column:
+            rung = F.regexp_extract(rest, r"(?s)\A.*\x07", 0)
+            whole = F.regexp_replace(closed, f"{_COMMAND}(?:{_STOP}|\\x07)|{_DEVICE}{_STOP}|{_SHORT}", "")
+            commands = F.regexp_replace(rung, f"{_COMMAND}\\x07|{_SHORT}", "")
+            return F.concat(whole, commands, F.regexp_replace(after(rest, rung), _SHORT, ""))
+
+        return let(F.regexp_extract(t, rf"(?s)\A.*{_STOP}", 0), lambda closed: let(after(t, closed), lambda rest: parts(closed, rest)))
+
+    return let(text, lambda t: F.when(t.rlike(CONTROL), cleaned(t)).otherwise(t))
 
 
 # --- Tracking parameters ---------------------------------------------------------------------------
@@ -162,7 +213,7 @@ def _clean_url(raw: Column) -> Column:
         query = F.substring(before, F.length(base) + 2, F.length(before))
         authority = F.regexp_extract(base, r"//([^/\\]*)", 1)
         host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"\A.*@", ""), r":[0-9]*\z", ""), r"\.\z", ""))
-        separator = F.when(F.contains(query, F.lit("&amp;")), F.lit("&amp;")).otherwise(F.lit("&"))
+        escaped = F.contains(query, F.lit("&amp;"))
 
         def rebuilt(pairs: Column, host: Column) -> Column:
             def key_of(pair: Column) -> Column:
@@ -172,13 +223,13 @@ def _clean_url(raw: Column) -> Column:
 
             def joined(kept: Column) -> Column:
                 rest = F.filter(kept, lambda p: p != "")
-                query = F.when(F.size(rest) > 0, F.concat(F.lit("?"), F.array_join(rest, "\0"))).otherwise(F.lit(""))
-                made = F.concat(base, F.replace(query, F.lit("\0"), separator), fragment, trailing)
+                joined = F.when(escaped, F.array_join(rest, "&amp;")).otherwise(F.array_join(rest, "&"))
+                made = F.concat(base, F.when(F.size(rest) > 0, F.concat(F.lit("?"), joined)).otherwise(F.lit("")), fragment, trailing)
                 return F.when(F.size(kept) == F.size(pairs), raw).otherwise(made)
 
             return let(kept, joined)
 
-        pairs = F.split(F.replace(query, F.lit("&amp;"), F.when(separator == "&amp;", F.lit("\0")).otherwise(F.lit("&amp;"))), F.when(separator == "&amp;", F.lit("\0")).otherwise(F.lit("&")), -1)
+        pairs = F.when(escaped, F.split(query, "&amp;", -1)).otherwise(F.split(query, "&", -1))
         return F.when(~F.contains(before, F.lit("?")), raw).otherwise(let(pairs, lambda p: let(host, lambda h: rebuilt(p, h))))
 
     return F.when(~F.contains(raw, F.lit("?")), raw).otherwise(let(_url_end(raw), cleaned))
@@ -200,6 +251,7 @@ COLUMN_RULES = {
     "remove-zero-width": remove_zero_width,
     "remove-directional": remove_directional,
     "remove-invisible-payloads": remove_payloads,
+    "strip-terminal-controls": strip_terminal_controls,
     "normalise-line-endings": normalise_line_endings,
     "replace-non-breaking-spaces": replace_spaces,
     "normalise-smart-quotes": normalise_quotes,

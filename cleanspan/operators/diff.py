@@ -1,87 +1,86 @@
-"""Line changes between two versions of a text: a shortest edit script, grouped into hunks."""
+"""Line changes between two versions of a text: a shortest edit script by the greedy O(ND) search, as blocks of lines.
+
+Each diagonal of the search carries its own history as a linked chain, so there is nothing to trace back. A block is
+what lies between two kept lines; the number of lines kept before an edit names its block.
+"""
 
 from __future__ import annotations
 
+from itertools import groupby
+from os.path import commonprefix
+from typing import NamedTuple
+
 from cleanspan.functions.catalogue import MAX_CHANGE, MAX_EDITS, MAX_HUNKS
 
 from .scan import clipped
 
 
-def edit_script(old: list[str], new: list[str], most: int = MAX_EDITS) -> list[tuple[bool, int, int]] | None:
-    """Edits (is insertion, old line, new line) in order, by the greedy shortest-edit-path search; None past ``most``.
+class Block(NamedTuple):
+    """Lines ``old[at : at + gone]`` that became ``new[to : to + come]``."""
+
+    at: int
+    gone: int
+    to: int
+    come: int
+
 
-    ``reach[k]`` is the furthest old line on diagonal k (old line less new line) for the edits made so far.
-    """
-    reach: dict[int, int] = {1: 0}
-    trail: list[dict[int, int]] = []
-    for edits in range(most + 1):
-        trail.append(dict(reach))
-        for k in range(-edits, edits + 1, 2):
-            inserts = k == -edits or (k != edits and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if inserts else reach[k - 1] + 1
-            while x < len(old) and x - k < len(new) and old[x] == new[x - k]:
+def shortest_edits(old: list[str], new: list[str], most: int = MAX_EDITS) -> list[tuple[int, bool]] | None:
+    """Of each edit, the lines kept before it and whether it adds a line; None if it takes more than ``most`` edits."""
+    number: dict[str, int] = {}
+    a, b = ([number.setdefault(line, len(number)) for line in lines] for lines in (old, new))
+    # Diagonal (old line less new line): the furthest old line, and the chain of edits that led there.
+    ends: dict[int, tuple[int, tuple | None]] = {0: (len(commonprefix([a, b])), None)}
+    for made in range(most + 1):
+        for k, (x, chain) in ends.items():
+            if x >= len(a) and x - k >= len(b):
+                edits = []
+                while chain:
+                    *edit, chain = chain
+                    edits.append(tuple(edit))
+                return edits[::-1]
+        further = {}
+        for k in range(-made - 1, made + 2, 2):
+            deleting, adding = ends.get(k - 1, (-1, None)), ends.get(k + 1, (-1, None))
+            adds = deleting[0] < adding[0]
+            x, chain = adding if adds else deleting
+            deleted = (made + k + adds) // 2 if adds else (made + k - 1) // 2
+            chain = (x - deleted, adds, chain)
+            x += not adds
+            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
-            if x >= len(old) and x - k >= len(new):
-                return _walked_back(trail, len(old), len(new))
+            further[k] = (x, chain)
+        ends = further
     return None
 
 
-def _walked_back(trail: list[dict[int, int]], x: int, y: int) -> list[tuple[bool, int, int]]:
-    script = []
-    for edits in range(len(trail) - 1, 0, -1):
-        reach, k = trail[edits], x - y
-        inserts = k == -edits or (k != edits and reach[k - 1] < reach[k + 1])
-        k += 1 if inserts else -1
-        x = reach[k]
-        y = x - k
-        script.append((inserts, x, y))
-    return script[::-1]
-
-
-def hunks_of(script: list[tuple[bool, int, int]], old: list[str], new: list[str], skipped: int) -> list[dict]:
-    """Touching edits make a hunk; one that replaces as many lines as it removes is given line by line."""
-    groups: list[list[tuple[bool, int, int]]] = []
-    for edit in script:
-        inserts, x, y = edit
-        if groups:
-            was_insert, px, py = groups[-1][-1]
-            touches = y == py + was_insert if inserts else x == px + (not was_insert)
-            if touches:
-                groups[-1].append(edit)
-                continue
-        groups.append([edit])
-    hunks = []
-    for group in groups:
-        gone = [x for inserts, x, _ in group if not inserts]
-        come = [y for inserts, _, y in group if inserts]
-        if len(gone) == len(come):
-            hunks += [_hunk(skipped + x, [old[x]], [new[y]]) for x, y in zip(gone, come, strict=True)]
-        else:
-            hunks.append(_hunk(skipped + (gone[0] if gone else group[0][1]), [old[x] for x in gone], [new[y] for y in come]))
-    return hunks
-
-
-def _hunk(line: int, old: list[str], new: list[str]) -> dict:
-    return {"line": line + 1, "lines": len(old), "addedLines": len(new), "before": "\n".join(old), "after": "\n".join(new)}
+def blocks_of(edits: list[tuple[int, bool]]) -> list[Block]:
+    blocks, gone, come = [], 0, 0
+    for kept, group in groupby(edits, key=lambda e: e[0]):
+        added = [adds for _, adds in group]
+        block = Block(kept + gone, added.count(False), kept + come, added.count(True))
+        blocks.append(block)
+        gone, come = gone + block.gone, come + block.come
+    return blocks
+
+
+def line_by_line(block: Block) -> list[Block]:
+    """A block that has as many lines as before, one line at a time."""
+    return [Block(block.at + i, 1, block.to + i, 1) for i in range(block.gone)] if block.gone == block.come else [block]
 
 
 def describe_changes(before: str, after: str, limit: int = MAX_HUNKS) -> dict:
     """Hunks and how many were left out. Versions too far apart are compared line by line, or as one block."""
     old, new = before.split("\n"), after.split("\n")
-    same = 0
-    while same < min(len(old), len(new)) and old[same] == new[same]:
-        same += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - same and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    old, new = old[same : len(old) - tail], new[same : len(new) - tail]
-    script = edit_script(old, new)
-    if script is not None:
-        hunks = hunks_of(script, old, new, same)
-    elif len(old) == len(new):
-        hunks = [_hunk(same + i, [a], [b]) for i, (a, b) in enumerate(zip(old, new, strict=True)) if a != b]
-    else:
-        hunks = [_hunk(same, old, new)]
-    shown = [h | {"before": clipped(h["before"], MAX_CHANGE), "after": clipped(h["after"], MAX_CHANGE)} for h in hunks[:limit]]
-    return {"hunks": shown, "omitted": max(0, len(hunks) - limit)}
+    head = len(commonprefix([old, new]))
+    old, new = old[head:], new[head:]
+    if tail := len(commonprefix([old[::-1], new[::-1]])):
+        old, new = old[:-tail], new[:-tail]
+    edits = shortest_edits(old, new)
+    blocks = [Block(0, len(old), 0, len(new))] if edits is None else blocks_of(edits)
+    hunks = [h for block in blocks for h in line_by_line(block) if edits is not None or (h.gone, h.come) != (1, 1) or old[h.at] != new[h.to]]
+
+    def shown(h: Block) -> dict:
+        lost, made = ("\n".join(lines) for lines in (old[h.at : h.at + h.gone], new[h.to : h.to + h.come]))
+        return {"line": head + h.at + 1, "lines": h.gone, "addedLines": h.come, "before": clipped(lost, MAX_CHANGE), "after": clipped(made, MAX_CHANGE)}
+
+    return {"hunks": [shown(h) for h in hunks[:limit]], "omitted": max(0, len(hunks) - limit)}

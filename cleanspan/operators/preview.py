@@ -1,67 +1,78 @@
-"""A text with its hidden characters and controls spelled out."""
+"""A text with its hidden characters and controls spelled out.
+
+Both scanners' events become marks, a span and what to show for it. The marks are folded over the text in order, and a
+mark that begins inside the span of an earlier one is covered by it.
+"""
 
 from __future__ import annotations
 
-from heapq import merge
+from collections.abc import Iterator
 
 from cleanspan.functions.catalogue import MAX_CONTROL_PREVIEW, MAX_PREVIEW
 
 from .scan import Event, Places, code_point, cut_units, invisible_events, terminal_events
 
-OPEN, SHUT, LEFT_QUOTE, RIGHT_QUOTE = "\u27e6", "\u27e7", "\u201c", "\u201d"
+OPEN, SHUT = "\u27e6", "\u27e7"
+#: What stands for a control character: pictures for C0 and DEL, code points for C1; and for white space that moves the cursor.
+PICTURES = {i: 0x2400 + i for i in range(0x20)} | {0x7F: 0x2421} | {i: f"U+{i:04X}" for i in range(0x80, 0xA0)}
+MOVES = {0x09: f"{OPEN}tab U+0009{SHUT}", 0x0D: f"{OPEN}carriage return U+000D{SHUT}"}
 
 
-def _plain(text: str) -> str:
-    return text.replace("\t", f"{OPEN}tab U+0009{SHUT}").replace("\r", f"{OPEN}carriage return U+000D{SHUT}")
+def quoted(text: str) -> str:
+    return f"\u201c{text}\u201d"
 
 
-def _pictured(character: str) -> str:
-    """Control pictures for C0 and DEL, code points for C1."""
-    if character < " ":
-        return chr(0x2400 + ord(character))
-    if character == "\x7f":
-        return "\u2421"
-    return code_point(character) if "\x80" <= character <= "\x9f" else character
+def of_invisible(event: Event, found: str) -> str:
+    if not event.is_run:
+        return f"{event.name} {code_point(found)}"
+    return f"{event.count:,} {event.name}" + (f" hiding {quoted(event.detail)}" if event.detail else "")
 
 
-def _label(text: str, event: Event, terminal: bool) -> str:
-    found = text[event.start : event.end]
-    if event.is_run:
-        inside = f"{event.count:,} {event.name}" + (f" hiding {LEFT_QUOTE}{event.detail}{RIGHT_QUOTE}" if event.detail else "")
-    elif not terminal or (len(found) == 1 and not event.detail):
-        inside = f"{event.name} {code_point(found[0])}"
-    elif event.detail:
-        inside = f"{event.name}: {LEFT_QUOTE}{event.detail}{RIGHT_QUOTE}"
-    else:
-        pictures = [_pictured(c) for c in found]
-        shown = "".join(pictures[:MAX_CONTROL_PREVIEW]) + "\u2026" * (len(pictures) > MAX_CONTROL_PREVIEW)
-        inside = f"{event.name} {shown}"
-    return f"{OPEN}{inside}{SHUT}"
+def of_control(event: Event, found: str) -> str:
+    if event.detail:
+        return f"{event.name}: {quoted(event.detail)}"
+    if len(found) == 1:
+        return f"{event.name} {code_point(found)}"
+    shown = "".join(c.translate(PICTURES) for c in found[:MAX_CONTROL_PREVIEW])
+    return f"{event.name} {shown}" + "\u2026" * (len(found) > MAX_CONTROL_PREVIEW)
 
 
-def visible_text(text: str, limit: int = MAX_PREVIEW) -> str:
-    """The preview of a validated text, at most ``limit`` UTF-16 units and a closing remark."""
-    places = Places(text)
-    invisible = ((e.start, 0, e) for e in invisible_events(text))
-    terminal = ((e.start, 1, e) for e in terminal_events(text) if e.category != "kept")
-    out, units, at, cut = [], 0, 0, False
-    for start, kind, event in merge(invisible, terminal, key=lambda x: x[:2]):
-        if units >= limit:
-            cut = True
-            break
+def marks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, what to show) in order; where both scanners see something, the invisible character comes first."""
+    found = [(e, of_invisible) for e in invisible_events(text)]
+    found += [(e, of_control) for e in terminal_events(text) if e.category != "kept"]
+    found.sort(key=lambda x: x[0].start)
+    return [(e.start, e.end, f"{OPEN}{shown(e, text[e.start : e.end])}{SHUT}") for e, shown in found]
+
+
+def spelled_out(text: str) -> Iterator[str]:
+    """A piece for each mark, empty for a covered one, then the text after the last."""
+    at = 0
+    for start, end, shown in marks(text):
         if start < at:
-            continue
-        piece = _plain(text[at:start]) + _label(text, event, bool(kind))
-        out.append(piece)
-        units += Places(piece).units(len(piece))
-        at = event.end
-    if not cut:
-        rest = _plain(cut_units(text[at:], limit + 1))
-        out.append(rest)
-        units += Places(rest).units(len(rest))
-    made = "".join(out)
-    if cut or units > limit:
-        made = f"{cut_units(made, limit)}\n{OPEN}preview truncated at {limit:,} characters{SHUT}"
-    return made
+            yield ""
+        else:
+            yield text[at:start].translate(MOVES) + shown
+            at = end
+    yield text[at:].translate(MOVES)
 
 
+def units_of(text: str) -> int:
+    return len(text) + sum(c > "\uffff" for c in text)
+
+
+def visible_text(text: str, limit: int = MAX_PREVIEW) -> str:
+    """The preview of a validated text, at most ``limit`` UTF-16 units and a closing remark."""
+    *pieces, rest = spelled_out(text)
+    kept, size = [], 0
+    for piece in pieces:
+        if size >= limit:  # more marks come, even if they are covered
+            break
+        kept.append(piece)
+        size += units_of(piece)
+    made = "".join(kept)
+    if len(kept) == len(pieces):
+        made += rest
+        if units_of(made) <= limit:
+            return made
+    return f"{cut_units(made, limit)}\n{OPEN}preview truncated at {limit:,} characters{SHUT}"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rules import inspection
+from .rules import found, inspection
 
+#: Of each kind, what its findings are labelled with, and their detail.
 KINDS = {
     "hidden": ("name", "codePoint"),
     "hiddenText": ("kind", "decoded"),
-    "secretWarnings": ("label", None),
+    "secretWarnings": ("label", "id"),
     "terminalControls": ("label", "detail"),
     "formulaLines": ("label", None),
 }
@@ -20,31 +21,44 @@ def inspected(df: DataFrame, column: str, output: str = "inspection") -> DataFra
     return df.withColumn(output, inspection(F.col(column)))
 
 
-def findings(df: DataFrame, key: str, column: str, every: bool = False) -> DataFrame:
-    """A row for each finding: key, kind, offset, line, column, label, detail, code_point.
+def findings(df: DataFrame, key: str | list[str], column: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """A row for each finding of some kinds: key, kind, offset, length, line, column, label, detail, code_point.
 
-    Without ``every``, for those that the inspection record lists: the first thousand of a kind in a text.
+    All findings: the cap of a thousand is one of the record, not of the table. Only the detectors of these kinds run.
     """
-    record = df.select(key, inspection(F.col(column), every).alias("i"))
+    keys = [key] if isinstance(key, str) else key
+    record = df.select(*keys, found(F.col(column), tuple(kinds)).alias("i"))
+    none = {"s": F.lit(None).cast("string"), "i": F.lit(None).cast("int")}
 
     def rows(kind: str) -> Column:
         label, detail = KINDS[kind]
-        none = F.lit(None).cast("string")
         place = kind != "formulaLines"
         return F.transform(
-            F.col(f"i.{kind}"),
+            F.coalesce(F.col(f"i.{kind}"), F.array()),
             lambda x: F.struct(
                 F.lit(kind).alias("kind"),
-                (x["offset"] if place else F.lit(None).cast("int")).alias("offset"),
+                (x["offset"] if place else none["i"]).alias("offset"),
+                (x["length"] if place and kind != "hidden" else none["i"]).alias("length"),
                 x["line"].alias("line"),
-                (x["column"] if place else F.lit(None).cast("int")).alias("column"),
+                (x["column"] if place else none["i"]).alias("column"),
                 x[label].alias("label"),
-                (x[detail] if detail else none).alias("detail"),
-                (x["codePoint"] if kind in ("hidden", "terminalControls") else none).alias("code_point"),
+                (x[detail] if detail else none["s"]).alias("detail"),
+                (x["codePoint"] if kind in ("hidden", "terminalControls") else none["s"]).alias("code_point"),
             ),
         )
 
-    return record.select(key, F.explode(F.concat(*map(rows, KINDS))).alias("f")).select(key, "f.*")
+    every = rows(kinds[0]) if len(kinds) == 1 else F.concat(*map(rows, kinds))
+    return record.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
+
+
+def without_findings(df: DataFrame, column: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """The rows whose text has no finding of these kinds: a filter, nothing is shuffled. A null text has none."""
+    record = found(F.col(column), tuple(kinds))
+    none = [F.coalesce(F.size(record[k]), F.lit(-1)) <= 0 for k in kinds]
+    clean = none[0]
+    for c in none[1:]:
+        clean = clean & c
+    return df.where(clean)
 
 
 def remaining(record: Column, with_hidden_text: bool = False) -> Column:

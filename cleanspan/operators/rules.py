@@ -1,7 +1,8 @@
 """Rules and recipes on columns, and everything that explains what they did.
 
-Eight of the ten rules are JVM expressions; removing markup and terminal sequences run over Arrow batches. All
-are ``Column -> Column``, so a recipe is one projection, in batch and in streaming alike.
+Nine of the ten rules are JVM expressions; removing markup runs over Arrow batches. All are ``Column -> Column``, so a
+recipe is one projection, in batch and in streaming alike. The limit on the length of a text holds for single texts (the
+command line); tables take texts of any length unless they are given one.
 """
 
 from __future__ import annotations
@@ -48,11 +49,7 @@ def strip_html(text: Column) -> Column:
     return _over_batches(html.strip_html, T.StringType())(text)
 
 
-def strip_terminal_controls(text: Column) -> Column:
-    return _over_batches(scan.strip_terminal_controls, T.StringType())(text)
-
-
-RULE_COLUMNS = {"strip-html": strip_html, "strip-terminal-controls": strip_terminal_controls, **texts.COLUMN_RULES}
+RULE_COLUMNS = {"strip-html": strip_html, **texts.COLUMN_RULES}
 LABELS = {r.id: r.label for r in RULES}
 
 
@@ -105,22 +102,23 @@ def recipe_catalogue(spark: SparkSession) -> DataFrame:
 
 
 def cleaned(text: Column, recipe: str | Recipe | Mapping) -> Column:
-    """A recipe as one Column."""
+    """A recipe as one Column; NUL is made visible first."""
+    text = texts.show_nul(text)
     for rule in recipe_of(recipe).rules:
         text = RULE_COLUMNS[rule](text)
     return text
 
 
-def clean(df: DataFrame, column: str, recipe: str | Recipe | Mapping, output: str | None = None) -> DataFrame:
-    """Adds (or replaces) ``output``, by default the column itself, by the cleaned text."""
-    return df.withColumn(output or column, cleaned(texts.validate(F.col(column)), recipe))
+def clean(df: DataFrame, column: str, recipe: str | Recipe | Mapping, output: str | None = None, limit: int | None = None) -> DataFrame:
+    """Adds (or replaces) ``output``, by default the column itself, by the cleaned text. With a limit, a longer text fails."""
+    return df.withColumn(output or column, cleaned(texts.validate(F.col(column), limit), recipe))
 
 
-def edits(df: DataFrame, column: str, recipe: str | Recipe | Mapping) -> DataFrame:
+def edits(df: DataFrame, column: str, recipe: str | Recipe | Mapping, limit: int | None = None) -> DataFrame:
     """Adds ``output`` and ``edits``, a struct for each rule: what it changed, and by how many UTF-16 units."""
     chosen = recipe_of(recipe)
     steps = [f"__step{i}" for i in range(len(chosen.rules) + 1)]
-    df = df.withColumn(steps[0], texts.validate(F.col(column)))
+    df = df.withColumn(steps[0], texts.validate(F.col(column), limit))
     for before, after, rule in zip(steps, steps[1:], chosen.rules, strict=False):
         df = df.withColumn(after, RULE_COLUMNS[rule](F.col(before)))
     made = [
@@ -147,38 +145,68 @@ def _struct(fields: str) -> T.StructType:
     return made
 
 
-INSPECTION = _struct("characters:i bytes:i lines:i")
-for _name, _fields in {
+KINDS = {
     "hidden": "offset:i codePoint:s name:s line:i column:i",
     "hiddenText": "offset:i length:i characters:i kind:s decoded:s line:i column:i",
     "secretWarnings": "offset:i id:s label:s length:i disclosure:s line:i column:i",
     "terminalControls": "offset:i length:i codePoint:s label:s detail:s line:i column:i",
     "formulaLines": "line:i cell:i label:s",
-}.items():
+}
+INSPECTION = _struct("characters:i bytes:i lines:i")
+for _name, _fields in KINDS.items():
     INSPECTION = INSPECTION.add(_name, T.ArrayType(_struct(_fields)))
-INSPECTION = INSPECTION.add("omittedFindings", _struct("hidden:i hiddenText:i likelySecrets:i terminalControls:i formulaLines:i"))
+INSPECTION = INSPECTION.add("omittedFindings", _struct(" ".join(f"{scan.OMITTED_AS.get(k, k)}:i" for k in KINDS)))
 INSPECTION = INSPECTION.add("multilineCommand", T.BooleanType()).add("limitation", T.StringType())
 CHANGES = T.StructType().add("hunks", T.ArrayType(_struct("line:i lines:i addedLines:i before:s after:s"))).add("omitted", T.IntegerType())
 
 
-def inspection(text: Column, every: bool = False) -> Column:
-    """The inspection record of a text as a struct; with ``every``, of all its findings, none omitted."""
-    most = None if every else scan.MAX_FINDINGS
-    return _over_batches(lambda t: scan.inspect(scan.checked(t), most), INSPECTION)(text)
+def inspection(text: Column, limit: int | None = None) -> Column:
+    """The inspection record of a text as a struct. It lists the first thousand findings of a kind and counts the others."""
+    return _over_batches(lambda t: scan.inspect(scan.checked(t, limit)), INSPECTION)(text)
+
+
+def suspect(text: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether a text has anything that a finding of one of the kinds could begin with or must hold."""
+    some = F.lit(False)
+    if {"hidden", "hiddenText"} & set(kinds):
+        some = some | text.rlike(r"[^\x00-\x7f]")
+    if "terminalControls" in kinds:
+        some = some | text.rlike(texts.CONTROL + r"|\r(?!\n)")
+    if "secretWarnings" in kinds:
+        low = F.lower(text)
+        for shape in scan.shapes():
+            some = some | F.contains(low if shape.any_case else text, F.lit(shape.hint))
+    return some
+
+
+def found(text: Column, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """All findings of some kinds as a struct of arrays, each of null if there is none. Formula-like lines are found in the
+    JVM; for the other kinds only texts that are suspect go to the scanners."""
+    scanned = tuple(k for k in kinds if k != "formulaLines")
+    schema = T.StructType([T.StructField(k, T.ArrayType(_struct(KINDS[k]))) for k in scanned])
+
+    def look(t: str) -> dict:
+        return scan.findings(scan.checked(t, None), scanned)
+
+    formulas = texts.formula_lines(text)
+    if not scanned:
+        return F.struct(formulas.alias("formulaLines"))
+    record = _over_batches(look, schema)(texts.let(text, lambda t: F.when(suspect(t, scanned), t)))
+    return F.struct(*[(formulas if k == "formulaLines" else record[k]).alias(k) for k in kinds])
 
 
 def changes(before: Column, after: Column) -> Column:
     return _over_pairs(diff.describe_changes, CHANGES)(before, after)
 
 
-def visible(text: Column) -> Column:
-    return _over_batches(lambda t: preview.visible_text(scan.checked(t)), T.StringType())(text)
+def visible(text: Column, limit: int | None = None) -> Column:
+    return _over_batches(lambda t: preview.visible_text(scan.checked(t, limit)), T.StringType())(text)
 
 
-def apply_recipe(df: DataFrame, column: str, recipe: str | Recipe | Mapping) -> DataFrame:
+def apply_recipe(df: DataFrame, column: str, recipe: str | Recipe | Mapping, limit: int | None = None) -> DataFrame:
     """The edits of :func:`edits`, with ``inspection`` of the text and ``outputInspection`` of the result."""
     # The generator keeps the optimizer from merging the rules into the argument of the last inspection.
-    done = edits(df, column, recipe).withColumn("output", F.explode(F.array("output")))
+    done = edits(df, column, recipe, limit).withColumn("output", F.explode(F.array("output")))
     return done.withColumns({"inspection": inspection(F.col(column)), "outputInspection": inspection(F.col("output"))})
 
 

@@ -34,6 +34,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly where the table has fewer partitions than twice the cores, as one of few row groups has.
+
+    A table of more partitions is left as it is: nothing is shuffled at scale.
+    """
+    most = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    return spread(read_table(spark, path))
+
+
 def write_texts(df: DataFrame, column: str, path: str) -> None:
     """Cleaned texts only, one row a line."""
     df.select(column).write.text(path)

@@ -30,6 +30,5 @@ def clean_stream(stream: DataFrame, column: str, recipe: str | Recipe | Mapping,
 
 def findings_per_window(stream: DataFrame, key: str, column: str, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of findings by kind and event-time window, with a watermark for late rows."""
-    rows = stream.withWatermark(time, late).select(F.struct(key, time).alias("row"), column)
-    found = findings(rows, "row", column).select("row.*", "kind")
+    found = findings(stream.withWatermark(time, late), [key, time], column)
     return found.groupBy(F.window(time, window), "kind").count()

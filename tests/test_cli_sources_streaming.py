@@ -98,6 +98,14 @@ def test_reports(spark):
 
 def test_sql_functions(spark):
     register(spark)
+    df = spark.createDataFrame([("k\u00a0\u200b \x1b[1m\u201cq\u201d \r\n\u202e https://k.test/?gclid=1 \ufe0f",)], "t string")
+    df.createOrReplaceTempView("given_texts")
+    for rule, column in rules.RULE_COLUMNS.items():
+        got = spark.sql(f"SELECT {rule.replace('-', '_')}(t) a FROM given_texts").first().a
+        assert got == df.select(column(F.col("t")).alias("a")).first().a, rule
+    found = spark.sql("SELECT kind, label, line, col FROM given_texts, LATERAL text_findings(t)").collect()
+    assert len(found) == reports.findings(df, "t", "t").count() and ("hidden", "zero-width space", 1, 3) in set(map(tuple, found))
+    assert spark.sql("SELECT size_metrics('ab').bytes a, is_multiline('a\nb') b, formula_lines('=1')[0].cell c, format_code_point(8203) d").first() == (2, True, 1, "U+200B")
     row = spark.sql("SELECT strip_html('<b>x</b>&amp;') a, inspect_text('=1+1').formulaLines[0].cell b, size(describe_changes('a', 'b').hunks) c, visible_text('\\t') d").first()
     assert (row.a, row.b, row.c, row.d) == ("x&", 1, 1, "\u27e6tab U+0009\u27e7")
 
@@ -110,3 +118,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = rules.clean(pages, "html", "clean-markdown")
     assert sorted(map(tuple, got.select("page_id", "html").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_findings_per_window(spark, tmp_path):
+    """Counts in event-time windows, as a batch over the same rows has them."""
+    import datetime
+
+    start = datetime.datetime(2024, 5, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, start + datetime.timedelta(minutes=20 * i), "a\u200b\u200b" if i % 2 else f"=1\n{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, at timestamp, t string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = clean.text_stream(spark, str(tmp_path / "in"), df.schema)
+    query = clean.findings_per_window(stream, "id", "t", "at").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    found = reports.findings(df.select(F.struct("id", "at").alias("k"), "t"), "k", "t")
+    want = found.groupBy(F.window("k.at", "1 hour"), "kind").count()
+    got = spark.table("windows")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 8

@@ -20,22 +20,25 @@ def database():
     return con
 
 
-def test_terminal_labels(spark):
-    """By the pieces that are put in: hyperlinks with their ends and colours, in documents with links too."""
-    texts = [r.t for r in plans.dirty(spark, DATA).select("t").collect()]
-    n = {name: sum(t.count(piece) for t in texts) for name, piece in {"start": "\x1b]8;;h", "end": "\x1b]8;;\x07", "colour": "\x1b["}.items()}
-    got = {r.label: r.n for r in plans.terminal_labels(spark, DATA).collect()}
-    assert got == {"terminal hyperlink": n["start"], "terminal hyperlink end": n["end"], "terminal colour or style sequence": n["colour"]}
-    assert n["start"] == n["end"] > 0 and plans.terminal_controls(spark, DATA).first().n <= n["colour"]
-
-
-def test_grouped_hidden_takes_all(spark, tmp_path):
-    """Runs past the thousandth hidden character of a text count too."""
-    text = " the a" * 1500
-    spark.createDataFrame([(1, text.replace(" a", " the a"), "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = sum(plans.dirty(spark, str(tmp_path)).first().t.count(c) for c in "\u00a0\u200b")
-    got = plans.grouped_hidden(spark, str(tmp_path)).collect()
-    assert sum(r["count"] for r in got) == want > 1000
+def test_findings_are_not_capped(spark, tmp_path):
+    """Findings past the thousandth of a text count, in tables and in counts."""
+    text = " the  the a in  in a" * 1500
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    dirty = plans.dirty(spark, str(tmp_path)).first().t
+    want = sum(map(dirty.count, "\u00a0\u200b"))
+    assert sum(r["count"] for r in plans.grouped_hidden(spark, str(tmp_path)).collect()) == want > 1000
+    assert sum(r.n for r in plans.hidden_characters(spark, str(tmp_path)).collect()) == want
+    assert plans.secrets(spark, str(tmp_path)).first().n == dirty.count("ghp_") > 1000
+
+
+def test_pages_without_markup(spark):
+    """The pages' own markup: no tag of an element is left, and every word of the visible text is."""
+    import re
+
+    for row in plans.strip_html(spark, DATA).join(plans.read(spark, DATA, "pages"), "page_id").collect():
+        assert not re.search(r"</?(?:p|div|a|li|ul|script|html|body|head|h1)[\s/>]", row.text)
+        for paragraph in re.findall(r"<p>([^<>&]+)</p>", row.html):
+            assert paragraph.strip() in row.text
 
 
 def rows(columns, values):
