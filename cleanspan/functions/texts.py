@@ -174,7 +174,8 @@ def strip_terminal_controls(text: Column) -> Column:
 
 # --- Tracking parameters ---------------------------------------------------------------------------
 
-URL = rf"(?<![A-Za-z0-9_])(?iu:https?)://[^{classes.SPACE}<>\"'`]+"
+#: Begins with the character itself, so that what stands before it is only looked at where a URL could begin.
+URL = rf"[hH](?<![A-Za-z0-9_][hH])(?iu:ttps?)://[^{classes.SPACE}<>\"'`]+"
 GLOBAL_KEY = r"(?iu)\A(?:utm_[a-z0-9_]+|" + "|".join(TRACKING_KEYS) + r")\z"
 
 
@@ -204,33 +205,41 @@ def _is_tracking(key: Column, host: Column) -> Column:
     return found
 
 
+def _host(base: Column) -> Column:
+    """The host of a URL up to its query, without user, port and a last dot, in lower case."""
+    authority = F.regexp_extract(base, r"//([^/\\]*)", 1)
+    return F.lower(F.regexp_replace(F.regexp_replace(authority, r"\A.*@", ""), r"\.?(?::[0-9]*)?\z", ""))
+
+
 def _clean_url(raw: Column) -> Column:
     def cleaned(end: Column) -> Column:
-        url, trailing = F.left(raw, end), F.substring(raw, end + 1, F.length(raw))
-        before = F.substring_index(url, "#", 1)
-        fragment = F.substring(url, F.length(before) + 1, F.length(url))
-        base = F.substring_index(before, "?", 1)
-        query = F.substring(before, F.length(base) + 2, F.length(before))
-        authority = F.regexp_extract(base, r"//([^/\\]*)", 1)
-        host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"\A.*@", ""), r":[0-9]*\z", ""), r"\.\z", ""))
-        escaped = F.contains(query, F.lit("&amp;"))
+        def of(before: Column, base: Column) -> Column:
+            query = F.substring(before, F.length(base) + 2, F.length(before))
+            rest = F.substring(raw, F.length(before) + 1, F.length(raw))  # the fragment, and what is not the URL's
+
+            def rebuilt(query: Column) -> Column:
+                escaped = F.contains(query, F.lit("&amp;"))
+
+                def key_of(pair: Column) -> Column:
+                    return let(F.substring_index(pair, "=", 1), lambda k: F.coalesce(F.try_url_decode(k), k))
 
-        def rebuilt(pairs: Column, host: Column) -> Column:
-            def key_of(pair: Column) -> Column:
-                return let(F.substring_index(pair, "=", 1), lambda k: F.coalesce(F.try_url_decode(k), k))
+                def joined(pairs: Column, kept: Column) -> Column:
+                    left = F.filter(kept, lambda p: p != "")
+                    again = F.when(escaped, F.array_join(left, "&amp;")).otherwise(F.array_join(left, "&"))
+                    made = F.concat(base, F.when(F.size(left) > 0, F.concat(F.lit("?"), again)).otherwise(F.lit("")), rest)
+                    return F.when(F.size(kept) == F.size(pairs), raw).otherwise(made)
 
-            kept = F.filter(pairs, lambda p: ~let(key_of(p), lambda k: _is_tracking(k, host)))
+                def chosen(pairs: Column, host: Column) -> Column:
+                    kept = F.filter(pairs, lambda p: ~let(key_of(p), lambda k: _is_tracking(k, host)))
+                    return let(kept, lambda kept: joined(pairs, kept))
 
-            def joined(kept: Column) -> Column:
-                rest = F.filter(kept, lambda p: p != "")
-                joined = F.when(escaped, F.array_join(rest, "&amp;")).otherwise(F.array_join(rest, "&"))
-                made = F.concat(base, F.when(F.size(rest) > 0, F.concat(F.lit("?"), joined)).otherwise(F.lit("")), fragment, trailing)
-                return F.when(F.size(kept) == F.size(pairs), raw).otherwise(made)
+                pairs = F.when(escaped, F.split(query, "&amp;", -1)).otherwise(F.split(query, "&", -1))
+                return let(pairs, lambda pairs: let(_host(base), lambda host: chosen(pairs, host)))
 
-            return let(kept, joined)
+            return F.when(F.length(base) == F.length(before), raw).otherwise(let(query, rebuilt))
 
-        pairs = F.when(escaped, F.split(query, "&amp;", -1)).otherwise(F.split(query, "&", -1))
-        return F.when(~F.contains(before, F.lit("?")), raw).otherwise(let(pairs, lambda p: let(host, lambda h: rebuilt(p, h))))
+        before = F.substring_index(F.left(raw, end), "#", 1)
+        return let(before, lambda before: let(F.substring_index(before, "?", 1), lambda base: of(before, base)))
 
     return F.when(~F.contains(raw, F.lit("?")), raw).otherwise(let(_url_end(raw), cleaned))
 
@@ -240,10 +249,10 @@ def remove_tracking(text: Column) -> Column:
 
     def rewritten(t: Column) -> Column:
         urls = F.transform(F.regexp_extract_all(t, F.lit(URL), F.lit(0)), _clean_url)
-        gaps = F.split(t, URL, -1)
-        return F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(urls, i), F.lit(""))))), "")
+        joined = lambda urls: F.transform(F.split(t, URL, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(urls, i), F.lit(""))))
+        return let(urls, lambda urls: F.array_join(joined(urls), ""))
 
-    return let(text, lambda t: F.when(F.contains(t, F.lit("?")) & t.rlike(URL), rewritten(t)).otherwise(t))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("://")) & F.contains(t, F.lit("?")), rewritten(t)).otherwise(t))
 
 
 COLUMN_RULES = {
