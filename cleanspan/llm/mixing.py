@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_REPEAT = 2
 BLOCK_WORDS = 8192
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 #: Buckets of each source in which documents are ordered, by so many hexadecimal digits of their hash; the order of the
 #: buckets makes up the stream. One more digit once a bucket would pass so many rows.
 DIGITS = 3

@@ -3,17 +3,18 @@
 Records are hashed into a fixed number of virtual slots (thousands), bytes are summed per slot, and a
 versioned map assigns slots to shards. The map is small and fixed in size (one entry per slot), so it is
 edited on the driver and stored as a table; records only ever see it through a join on their slot.
-Version 0 deals the slots out in turn; rebalancing edits that map into the next version, moving slots by
-bytes, so that shard sizes come out near equal (law ``bytes``).
+Version 0 deals the slots out in turn; rebalancing edits that map into the next version, moving as few slots as it takes
+for shard sizes to come out near equal (law ``bytes``).
 
-Defined results: a null text has size 1 (no bytes, plus 1); null ids are hashed like any value; rows equal in
-id and text fall into one slot and are numbered one after the other; an empty table gives an empty table.
+Defined results: a null text has size 1 (no bytes, plus 1), a text of any length all its bytes; null ids are hashed like any
+value; rows equal in id and text fall into one slot and are numbered one after the other, which are the only ties; further
+columns, whatever their names, are not looked at; an empty table gives an empty table.
 Equal texts with different ids are spread over slots, so a hot text does not fill one of them.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,25 +49,27 @@ def first_map(slots: int = SLOTS, shards: int = SHARDS) -> list[int]:
 
 
 def rebalanced(old: list[int], sizes: dict[int, int], shards: int = SHARDS) -> list[int]:
-    """The next version of a map: slots by falling size each go to the least loaded shard.
+    """The next version of a map: an edit that moves slots from the fullest shard to the emptiest, one at a time.
 
-    A slot stays in its old shard where that is among the least loaded. Slots without bytes stay where they are.
+    The slot that goes is the one whose bytes come nearest to half of what lies between the two. Each move brings the shards
+    closer; the edit ends when none would. All other slots, and slots without bytes, stay where they are.
     """
-    load = [0] * shards
-    new = list(old)
-    heap = [(0, s) for s in range(shards)]
-    for slot in sorted(sizes, key=lambda s: (-sizes[s], s)):
-        here = old[slot]
-        least = heap[0][0]
-        if here < shards and load[here] == least:
-            heap = [(b, s) for b, s in heap if s != here]
-            heapq.heapify(heap)
-            shard = here
-        else:
-            shard = heapq.heappop(heap)[1]
-        load[shard] += sizes[slot]
-        new[slot] = shard
-        heapq.heappush(heap, (load[shard], shard))
+    new, load = list(old), [0] * shards
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for slot, size in sizes.items():
+        load[old[slot]] += size
+        insort(held[old[slot]], (size, slot))
+    while shards > 1:
+        full, empty = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+        gap = load[full] - load[empty]
+        at = bisect_left(held[full], (gap // 2, -1))
+        near = [c for c in held[full][max(at - 1, 0) : at + 1] if 0 < c[0] < gap]
+        if not near:
+            break
+        size, slot = min(near, key=lambda c: (abs(2 * c[0] - gap), c[1]))
+        held[full].remove((size, slot))
+        insort(held[empty], (size, slot))
+        load[full], load[empty], new[slot] = load[full] - size, load[empty] + size, empty
     return new
 
 

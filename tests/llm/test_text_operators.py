@@ -176,6 +176,11 @@ def test_sharding(spark, odd, odd_rows, none, tmp_path):
         shards[r.shard].append(r.slot)
         assert r.law == "bytes" and r.grown_shard is None
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(16))
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    rest = sorted((r["size"] for r in got), reverse=True)[2:]  # two texts are larger than an even share
+    assert max(load.values()) <= max(r["size"] for r in got) + max(rest) and min(load.values()) > 0
     first, second = (dict(sharding.load_map(spark, folder, v).collect()) for v in (0, 1))
     assert len(first) == len(second) == sharding.SLOTS and first[17] == 1
     assert sharding.shard(none).count() == 0
@@ -190,6 +195,8 @@ def test_rebalancing():
     for slot, b in sizes.items():
         load[new[slot]] += b
     assert max(load.values()) - min(load.values()) <= 0.001 * sum(load.values())
+    moved_slots = sum(a != b for a, b in zip(old, new, strict=True))
+    assert 0 < moved_slots < 400 and sharding.rebalanced(new, sizes) == new and sharding.rebalanced(old, {}) == old
     more = sharding.grown(new, sizes, 16)
     assert all(a == b or b == 16 for a, b in zip(new, more, strict=True))
     moved = sum(sizes[i] for i, s in enumerate(more) if s == 16)
