@@ -35,12 +35,17 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a new local one only
-    where that is unset, as in tests."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a new local one if
+    all runs in one process, as in tests; on a cluster this fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="cleanspan-")
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="cleanspan-")
+        else:
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -91,6 +96,7 @@ class AtomicFile:
     """Writes under a temporary name and renames on success, so a retried or doubled task leaves one whole file."""
 
     def __init__(self, uri: str):
+        self.uri = uri
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.temp = f"{os.path.dirname(self.path)}/.{uuid.uuid4().hex}"

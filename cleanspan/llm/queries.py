@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cleanspan.sources.text import read_spread
+
 from . import binary, htmltext, mixing, packing, quality, sharding, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of texts; one of few row groups is dealt out over all cores."""
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +40,7 @@ def op5_html_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.predictions(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

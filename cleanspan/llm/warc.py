@@ -9,7 +9,8 @@ record, where the header check turns them away.
 Of pages with equal payloads the one with the least page_id is written whole, as a response; the others revisit
 it. Only payload digests and page ids are shuffled to find it; each different payload is shuffled to its response.
 
-Defined results: a null page has an empty payload; rows with a null page_id come last within their payload; of
+Defined results: a null page has an empty payload, a page of any length is one record; further columns, whatever their names,
+are not looked at; a null page_id has a record id made of payload and URL; rows with a null page_id come last within their payload; of
 rows equal in page_id, url and payload one is the first, the others revisit it; an empty table gives no archive and
 no rows.
 """
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame
@@ -25,13 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import AtomicFile, filesystem, fresh_path, stored, text_of
 
+#: Byte ranges of archives; so many go to one task, so that there are not more tasks than a scheduler likes.
 SPLIT_BYTES = 8 << 20
+TASK_BYTES = 128 << 20
+ARCHIVE_BYTES = 1 << 30
 CHUNK = 1 << 20
 MIN_REVISIT_BYTES = 0
 GZIP_MAGIC = b"\x1f\x8b\x08"
 #: Bytes that a candidate member may take to show the first line of a record.
 FIRST_LINE = b"WARC/1."
 
+#: The pages have no date; a fixed one lets a task that runs twice write the same bytes.
+DATE = "1970-01-01T00:00:00Z"
+
 MANIFEST = "path string, n_bytes long, records long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
@@ -66,11 +75,17 @@ def record(page_id, url, page, revisits: bool, original, sha: str | None = None,
     body = b"" if revisits else (page or "").encode()
     digest = base64.b32encode(bytes.fromhex(sha)).decode() if sha else digest_of(body)
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines.append(f"WARC-Date: {DATE}")
     lines.append(f"X-Payload-Length: {len(body) if size is None else size}")
-    if page_id is not None:
+    if page_id is None:
+        lines.append(f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{digest} {url}')}>")
+    else:
         lines.append(f"WARC-Record-ID: <urn:x-page:{page_id}>")
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        # No line breaks inside a header; the bytes of a URL that has some are escaped, and read back as they were.
+        lines.append("WARC-Target-URI: " + re.sub(r"[\r\n%]", lambda m: f"%{ord(m[0]):02X}", url) if re.search(r"[\r\n]", url) else f"WARC-Target-URI: {url}")
+        if re.search(r"[\r\n]", url):
+            lines.append("X-Target-Escaped: yes")
     if revisits:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if original is not None:
@@ -81,29 +96,34 @@ def record(page_id, url, page, revisits: bool, original, sha: str | None = None,
     return packer.compress(raw) + packer.flush()
 
 
-def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Writes one archive for each partition into ``folder``; the manifest."""
+def write(pages: DataFrame, folder: str, least: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the records of each partition into ``folder``, a new archive once one has ``archive_bytes``; the manifest."""
 
     def put(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        part, done = TaskContext.get().partitionId(), []
         out, count = None, 0
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         try:
             for batch in batches:
                 for row in zip(*(batch.column(i) for i in range(7)), strict=True):
-                    out = out or AtomicFile(path)
+                    if out is not None and out.size >= archive_bytes:
+                        out.commit()
+                        done.append((out.uri, out.size, count))
+                        out, count = None, 0
+                    out = out or AtomicFile(f"{folder}/part-{part:06d}-{len(done):04d}.warc.gz")
                     out.write(record(*(v.as_py() for v in row)))
                     count += 1
             if out is None:
                 return
             out.commit()
+            done.append((out.uri, out.size, count))
         except BaseException:
             if out is not None:
                 out.abort()
             raise
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out.size]), pa.array([count])], ["path", "n_bytes", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "n_bytes", "records"])
 
     return with_originals(pages, least).mapInArrow(put, MANIFEST)
 
@@ -175,11 +195,14 @@ def parse(raw: bytes) -> tuple:
         value = fields.get(name, "").strip("<>")
         return int(value.removeprefix("urn:x-page:")) if value.startswith("urn:x-page:") else None
 
+    url = fields.get("warc-target-uri")
+    if "x-target-escaped" in fields:
+        url = re.sub("%(0A|0D|25)", lambda m: chr(int(m[1], 16)), url)
     whole = kind == "response"
     size = len(payload) if whole else int(fields.get("x-payload-length", 0))
     sha = digest_of(payload) if whole else fields.get("warc-payload-digest", "").removeprefix("sha1:")
     page = payload.decode() if whole else None
-    return number("warc-record-id"), fields.get("warc-target-uri"), size, sha, kind, number("warc-refers-to"), page
+    return number("warc-record-id"), url, size, sha, kind, number("warc-refers-to"), page
 
 
 def records_in(path: str, start: int, stop: int):
@@ -229,7 +252,10 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
             yield batch_of(held)
 
     ranges = stored(splits(manifest, split_bytes), "warc-splits")
-    return ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(get, RECORDS)
+    # One range a task up to some hundred tasks, then more ranges a task.
+    n = ranges.count()
+    tasks = max(min(n, 512), -(-n * split_bytes // TASK_BYTES))
+    return ranges.repartition(max(1, tasks), "path", "start").mapInArrow(get, RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = MIN_REVISIT_BYTES) -> DataFrame:

@@ -89,7 +89,8 @@ def test_extract(spark):
 @pytest.mark.parametrize("least", [0, 1])
 def test_archives(spark, least):
     rows, df = odd_pages(spark)
-    manifest = warc.stored(warc.write(df, warc.fresh_path(spark, "test-warc"), least), "test-manifest")
+    manifest = warc.stored(warc.write(df, warc.fresh_path(spark, "test-warc"), least, archive_bytes=2_000), "test-manifest")
+    assert manifest.count() > 5
     got = warc.read(manifest, split_bytes=4099).collect()
     groups = defaultdict(list)
     for r in rows:
@@ -103,6 +104,7 @@ def test_archives(spark, least):
         for x in others:
             want[(plain(x), len(data), sha, "revisit", plain(first)) if len(data) >= least else (plain(x), len(data), sha, "response", None)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    assert {r.url for r in got} == {r[1] for r in rows}
     pages = Counter((r.page_id, r.html) for r in got if r.record_type == "response")
     assert all((i, h or "") in {(r[0], r[2] or "") for r in rows} for i, h in pages)
     assert sum(m.records for m in manifest.collect()) == len(rows)
