@@ -1,14 +1,16 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block-level tags. Pass one classes each block by its stop-word density, length
-and link density as good, bad, near-good or short; pass two lets the undecided blocks inherit: between decided
-neighbours of one label they take it, between different ones a short block goes bad unless it is a near-good
-one next to a good block. What page markup itself names as not content (navigation, header, footer, aside,
+and link density as good, bad, near-good or short; in pass two the undecided blocks inherit from the nearest decided ones
+before and after them: one label on both sides is theirs, of different ones near-good takes good, a heading what follows it,
+and a short block the nearer one. Blocks in an article or main element have neighbours there only, and lie between good ones
+at its edges. What page markup itself names as not content (navigation, header, footer, aside,
 forms, dialogs, scripts, styles; classes or ids for adverts, menus, notices, sidebars, comments) is bad from the
-start. A name that only has such a word in it (``no-sidebar``) counts if no article, main or good block lies inside. Paragraphs and headings directly in an article element count as near-good at least, and inherit good.
+start. A name that only has such a word in it (``no-sidebar``) counts if no article, main or good block lies inside.
 
-Defined results: a null or empty page has the empty text; unclosed tags and markup cut off at the end of the
-page are read as far as they go; repeated rows are treated alike; an empty table gives an empty table.
+Defined results: a null or empty page has the empty text; a page of any length is read whole; unclosed tags and markup cut off
+at the end of the page are read as far as they go; ties between two labels are settled as above; repeated rows are treated
+alike; further columns stay as they are but for text and n_chars, which are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -52,10 +54,13 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 #: Blocks apart that a heading may lie from the good block that it heads.
 HEADING_REACH = 3
+DECIDED = ("good", "bad")
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
+#: A slash at the end of a tag that is no part of a value without quotes.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 PARTIAL = re.compile(r"<[!/?a-zA-Z][^<>]*\Z")
 WORD = re.compile(r"\w+")
 
@@ -170,8 +175,8 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
             if tag == "hr":
                 close()
             continue
-        if m[3].endswith("/"):
-            continue
+        if m[3].endswith("/") and tag not in BLOCK_TAGS and SELF_CLOSED.search(m[3]):
+            continue  # as in <svg/>; elements of HTML are open whatever stands at the end of their tag
         if tag == "p" or tag == "li" or tag in ("dd", "dt", "td", "th", "tr", "option"):
             # These end where the next of their kind begins, within the nearest other block.
             for i in range(len(stack) - 1, -1, -1):
@@ -212,42 +217,51 @@ def first_pass(block: Block, text: str) -> str:
     length = len(text)
     if block.linked / length > MAX_LINK_DENSITY:
         return "bad"
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if block.content:
-        # Inside the element that the page names as its content, prose need not prove itself.
-        return "good" if length > LENGTH_HIGH or density >= STOP_LOW else "near"
     if length < LENGTH_LOW:
         return "short"
-    if density >= STOP_HIGH:
-        return "good" if length > LENGTH_HIGH else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    words = WORD.findall(text.lower())
+    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if density >= STOP_HIGH and length > LENGTH_HIGH:
+        return "good"
+    # Inside the element that the page names as its content, blocks of few stop words are left to their neighbours.
+    return "near" if density >= STOP_LOW or block.content else "bad"
+
+
+def nearest(labels: list[str], regions: list[int], step: int, edges: dict[int, str]) -> list[tuple[int, str]]:
+    """Of each block the nearest decided one before it (or after it, for a step of -1): how many blocks away, and its label.
+
+    Neighbours are sought in the block's own region; where that ends, it is the label of its edge.
+    """
+    order = range(len(labels)) if step == 1 else range(len(labels) - 1, -1, -1)
+    out: list[tuple[int, str]] = [(0, "")] * len(labels)
+    last: dict[int, tuple[int, str]] = {}  # of each region: how many of its blocks ago, label
+    for i in order:
+        away, label = last.get(regions[i], (0, edges[regions[i]]))
+        out[i] = (away + 1, label)
+        last[regions[i]] = (0, labels[i]) if labels[i] in DECIDED else (away + 1, label)
+    return out
 
 
 def second_pass(blocks: list[tuple[Block, str]]) -> None:
-    """Undecided blocks inherit from the nearest decided ones before and after them."""
+    """Undecided blocks inherit from the nearest decided ones before and after them, each from its own region: the page,
+    or the page's content elements. What lies past the page's edges counts as bad, past the content's as good."""
     first = [b.label for b, _ in blocks]
-    before, last = [], "bad"
-    for label in first:
-        before.append(last)
-        last = label if label in ("good", "bad") else last
-    after, last = [""] * len(first), "bad"
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    # Undecided blocks of a content element are part of the content.
+    regions, edges = [int(b.content) for b, _ in blocks], {0: "bad", 1: "good"}
+    # Boilerplate inside the content says nothing about the blocks beside it.
+    seen = ["" if b.content and b.marked else label for (b, _), label in zip(blocks, first, strict=True)]
+    before, after = nearest(seen, regions, 1, edges), nearest(seen, regions, -1, edges)
     for i, (block, _) in enumerate(blocks):
-        if first[i] in ("good", "bad"):
+        if first[i] in DECIDED:
             continue
-        if block.content:
-            block.label = "good"
-        elif before[i] == after[i]:
-            block.label = before[i]
-        elif first[i] == "near":
+        (back, left), (ahead, right) = before[i], after[i]
+        if left == right:
+            block.label = left
+        elif block.content or first[i] == "near":
             block.label = "good"
+        elif block.heading:  # it belongs to what comes next
+            block.label = right if ahead <= HEADING_REACH else "bad"
         else:
-            ahead = [label for label in first[i + 1 : i + 1 + HEADING_REACH] if label in ("good", "bad")]
-            block.label = "good" if block.heading and ahead[:1] == ["good"] else "bad"
+            block.label = "bad" if back == ahead else left if back < ahead else right
 
 
 def main_text(page: str | None) -> str:

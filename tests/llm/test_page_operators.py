@@ -68,6 +68,53 @@ def test_two_passes():
     assert got == f"{PROSE}\n\n{near}"
 
 
+def test_slashes_at_the_end_of_tags():
+    assert htmltext.main_text(page(f"<div/><p>{PROSE}</p>")) == PROSE
+    assert htmltext.main_text(page(f"<p><svg/>{PROSE}</p>")) == PROSE
+    assert htmltext.main_text(page(f"<p><a href=/x/>{PROSE}</a></p>")) == ""
+
+
+def made_page(rng):
+    """A page put together from blocks that are content and blocks that are not, and the text of the former."""
+    words = PROSE.replace(",", "").replace(".", "").split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    odd = lambda n: " ".join("".join(rng.choice("qwzx") for _ in range(6)) for _ in range(n))
+    good, body = [], []
+
+    def content(text, tag="p"):
+        good.append(" ".join(text.split()))
+        body.append(f"<{tag}>{text.replace('&', '&amp;')}</{tag}>")
+
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{say(2)}</a></li>' for i in range(4))}</ul></nav>",
+        lambda: f"<aside><p>{say(60)}</p></aside>", lambda: f"<div class='ad'>{say(50)}</div>", lambda: f"<form>{say(40)}</form>",
+        lambda: f"<script>var s = '<p>{say(40)}</p>';</script>", lambda: f"<div id=comments><p>{say(60)}</p></div>",
+        lambda: f"<!-- <p>{say(40)}</p> -->", lambda: f"<div hidden><p>{say(60)}</p></div>", lambda: f"<p><a href=/x>{say(30)}</a></p>",
+    ]
+    inside = rng.random() < 0.6
+    body += [rng.choice(noise)() for _ in range(rng.randint(0, 3))] + ["<article>" if inside else "<div>"]
+    content(say(5), "h2")
+    content(say(60))
+    for _ in range(rng.randint(0, 5)):
+        kind = rng.random()
+        if kind < 0.3:
+            body.append(rng.choice(noise[1:])())
+        elif kind < 0.6 and inside:
+            content(rng.choice([say(3), odd(40), odd(3), say(9) + " & so"]), rng.choice(["p", "li", "h3"]))
+        else:
+            content(say(rng.randint(50, 80)) + " &\n \u00e9")
+    content(say(60))
+    body += ["</article>" if inside else "</div>", f"<footer>{say(40)}</footer>", *(rng.choice(noise)() for _ in range(rng.randint(0, 2)))]
+    return page("".join(body)), "\n\n".join(good)
+
+
+def test_pages_that_are_put_together():
+    rng = random.Random(11)
+    for _ in range(400):
+        made, want = made_page(rng)
+        assert htmltext.main_text(made) == want, made
+
+
 def odd_pages(spark):
     rng = random.Random(3)
     rows = [(i, f"http://a/{i}", page(f"<article><p>{PROSE} {rng.random()}</p></article>"), "t", "n") for i in range(40)]
