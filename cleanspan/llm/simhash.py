@@ -14,9 +14,10 @@ pair of blocks is compared by a task of its own.
 
 Components come from alternating large-star and small-star steps over the links, with a checkpoint each.
 
-Defined results: a null or empty text has fingerprint zero; rows with one fingerprint are linked whatever their
-ids; null ids never name a component unless all its ids are null; an empty table gives an empty table;
-further columns stay as they are, whatever their names.
+Defined results: a null or empty text has fingerprint zero, a text of any length is hashed whole; rows with one fingerprint
+are linked whatever their ids; null ids never name a component unless all its ids are null; of rows that tie for the least id
+the one of the least hash of id and text stays, and of repeated rows any; an empty table gives an empty table; further columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 SHINGLE = 4
 RADIUS = 4
@@ -279,9 +280,9 @@ def components(links: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = spread_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u")
+        down = spread_join(large, least, "u", "v")
         small = down.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "cc")
         new = _mark(edges)
@@ -302,8 +303,13 @@ def clusters(documents: DataFrame) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row_hash")
     per_fp = stored(rows.groupBy("fp").agg(F.min(own).alias("best")), "simhash-distinct")
     roots = components(grid_links(per_fp.select("fp")))
-    linked = per_fp.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
-    best = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("best").alias("best")), "root").select("fp", "best")
+    members = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "simhash-members")
+    met = per_fp.join(members.withColumnRenamed("node", "fp"), "fp", "left")
+    # A component may have a third of all fingerprints; most fingerprints are alone and are not joined again.
+    together = met.where("root IS NOT NULL")
+    leads = together.groupBy("root").agg(F.min("best").alias("lead"))
+    together = spread_join(together.select("fp", "root"), leads, "root", "fp").select("fp", F.col("lead").alias("best"))
+    best = met.where("root IS NULL").select("fp", "best").unionByName(together)
     return rows.join(best, "fp")
 
 
