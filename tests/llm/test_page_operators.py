@@ -212,6 +212,27 @@ def test_threshold_algorithm_stops_early():
         assert f.tolist() == order.tolist() and s.tolist() == (vectors @ q)[order].tolist()
 
 
+def test_a_known_score_closes_a_block():
+    rng = np.random.default_rng(7)
+    vectors, ids = rng.integers(-5, 6, (500, 4)).astype(float), np.arange(500)
+    queries = rng.integers(-5, 6, (6, 4)).astype(float)
+    every, _ = topk.best_of_block(queries, np.full(6, -1), vectors, ids, 3)
+    same, _ = topk.best_of_block(queries, np.full(6, -1), vectors, ids, 3, every[:, -1])
+    assert (every == same).all()
+    above, _ = topk.best_of_block(queries, np.full(6, -1), vectors, ids, 3, np.full(6, 1e9))
+    assert np.isinf(above).all()
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from cleanspan.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.predictions(docs.repartition(4), labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    score, toxic = np.array([r.score for r in rows]), np.array([r.toxic for r in rows]) == 1
+    above = (score[toxic][:, None] > score[~toxic]).mean() + (score[toxic][:, None] == score[~toxic]).mean() / 2
+    assert toxic.sum() > 50 and above > 0.95 and ((score >= 0.5) == toxic).mean() > 0.97
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
