@@ -34,6 +34,13 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 
 _LISTS = "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in {**quality.COMMON_WORDS, "other": quality.COMMON_WORDS_OTHER}.items()) + "}"
 
+_FIXED = ", ".join(
+    f"('{lang}', '{kind}', {i}, {m}::DOUBLE)"
+    for lang, parts in quality.FIXED_REFERENCES.items()
+    for kind, part in zip("cw", parts, strict=True)
+    for i, m in enumerate(part, 1)
+)
+
 _QUALITY = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -56,11 +63,18 @@ counts AS (
     list_transform({_LISTS}[q], lambda k: len(list_filter(ws, lambda v: v = k))) AS k
   FROM w),
 hist AS (
-  SELECT r, q, 'c' AS kind, chars AS n, chars >= {quality.MIN_CHARS} AS in_ref, chars >= {quality.MIN_CHARS} AS judged, list_append(c, chars - list_sum(c)) AS h FROM counts
+  SELECT r, q, 'c' AS kind, chars AS n, chars >= {quality.MIN_CHARS} AS judged, list_append(c, chars - list_sum(c)) AS h FROM counts
+  UNION ALL
+  SELECT r, q, 'w', words, words >= {quality.MIN_WORDS}, list_append(k, words - list_sum(k)) FROM counts),
+share AS (SELECT r, q, kind, judged, unnest(h) / n AS p, generate_subscripts(h, 1) AS i FROM hist WHERE n > 0),
+sound AS (
+  SELECT min(r) AS r FROM w JOIN counts USING (r, q) LEFT JOIN rep USING (r)
+  WHERE chars >= {quality.MIN_CHARS} AND words >= 20 AND 100 * coalesce(rep.n, 0) <= 30 * words GROUP BY q, t),
+mid AS (SELECT q, kind, i, median(round(p * {quality.STEPS})) AS m, count(*) AS texts FROM share JOIN sound USING (r) GROUP BY ALL),
+ref AS (
+  SELECT q, kind, i, m / sum(m) OVER (PARTITION BY q, kind) AS m FROM mid WHERE texts >= {quality.MIN_REFERENCE} OR q = 'other'
   UNION ALL
-  SELECT r, q, 'w', words, chars >= {quality.MIN_CHARS}, words >= {quality.MIN_WORDS}, list_append(k, words - list_sum(k)) FROM counts),
-share AS (SELECT r, q, kind, in_ref, judged, unnest(h) / n AS p, generate_subscripts(h, 1) AS i FROM hist WHERE n > 0),
-ref AS (SELECT q, kind, i, avg(p) AS m FROM share WHERE in_ref GROUP BY ALL),
+  SELECT * FROM (VALUES {_FIXED}) AS f (q, kind, i, m) WHERE q NOT IN (SELECT q FROM mid WHERE texts >= {quality.MIN_REFERENCE})),
 dist AS (
   SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + m)) ELSE 0 END + CASE WHEN m > 0 THEN m * ln(2 * m / (p + m)) ELSE 0 END), 0) / (2 * ln(2))) AS j
   FROM share JOIN ref USING (q, kind, i) WHERE judged GROUP BY r, kind),

@@ -6,19 +6,17 @@ words among its words. Each is compared with the reference of its language by Je
 language and one for all other languages: junk of less than half of a language's texts, and copies of any number, leave
 them nearly where they are. A known language of few texts uses fixed references. They are a table of
 ``len(languages) + 1`` rows however large the corpus. A distance only counts where the text is long enough for its
-histogram to mean something. ``mean_references`` are the means over all rows, which junk and copies do move; the SQL of
-op1 has them.
+histogram to mean something.
 
 Defined results: a null text counts as empty and fails the base rules; a null or unknown language uses
-the reference for other languages; a text of any length is read whole; repeated rows are judged alike; an empty
-table gives an empty table; further columns stay as they are, whatever their names.
+the reference for other languages; a text of any length is read whole; repeated rows are judged alike, and there are no ties to
+break; an empty table gives an empty table; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,28 +235,6 @@ def references(featured: DataFrame) -> References:
     return found
 
 
-def mean_references(featured: DataFrame) -> References:
-    """Mean class and word shares of each language over all documents long enough to have them.
-
-    Returns at most ``len(COMMON_WORDS) + 1`` rows to the driver.
-    """
-    c, w = "class_count", "q_words.word_count"
-    rows = (
-        featured.select(
-            "q_lang",
-            F.when(F.col("n_text_chars") >= MIN_CHARS, shares(F.col(c))).alias("c"),
-            F.when(F.col("n_text_chars") >= MIN_CHARS, shares(F.col(w))).alias("w"),
-        )
-        .groupBy("q_lang")
-        .agg(
-            F.array(*[F.avg(F.get("c", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("c"),
-            F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(max(map(len, [*COMMON_WORDS.values(), COMMON_WORDS_OTHER])) + 1)]).alias("w"),
-        )
-        .collect()
-    )
-    return {r.q_lang: ([x for x in r.c if x is not None], [x for x in r.w if x is not None]) for r in rows}
-
-
 def distances(q_lang: Column, n_chars: Column, class_count: Column, word_count: Column, refs: References) -> Column:
     """Struct of ``class_distance`` and ``word_distance``, null where the text is too short for the histogram."""
     none = F.lit(None).cast("double")
@@ -281,13 +257,13 @@ def diverges(distance: Column) -> Column:
     return (c > MAX_CLASS_DISTANCE) | (w > MAX_WORD_DISTANCE) | (c + w > MAX_SUM)
 
 
-def assess(documents: DataFrame, referred: Callable[[DataFrame], References] = references) -> DataFrame:
+def assess(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, base counts, ``base_failed``, ``kept`` and both distances.
 
     The features of all rows are written once, without the texts; references and verdicts come from them.
     """
     features = stored(with_features(documents.select("doc_id", "text", "lang")).drop("text", "lang"), "quality")
-    distance = distances(F.col("q_lang"), F.col("n_text_chars"), F.col("class_count"), F.col("q_words.word_count"), referred(features))
+    distance = distances(F.col("q_lang"), F.col("n_text_chars"), F.col("class_count"), F.col("q_words.word_count"), references(features))
     failed = base_failed(F.col("q_words.n_words"), F.col("q_words.n_repeat_words"))
     return features.withColumn("distance", distance).select(
         "doc_id",
