@@ -84,10 +84,11 @@ PARTS = 16
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, parts: int = PARTS) -> DataFrame:
     """Inner join of many rows of a key with its one row, where a key may have a large share of all rows: these are dealt
-    into parts by the hash of another column, and the one row is there for each part."""
+    into parts by the hash of another column, and the one row is there for each part. Never a broadcast: the plan does not
+    see that the other side grows by the parts."""
     dealt = many.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     copied = one.withColumn("__part", F.explode(F.array(*map(F.lit, range(parts)))))
-    return dealt.join(copied, [key, "__part"]).drop("__part")
+    return dealt.join(copied.hint("merge"), [key, "__part"]).drop("__part")
 
 
 # --- Binary files on the shared store, used inside tasks -------------------------------------------
