@@ -11,8 +11,9 @@ For each id three models speak. Order 2 and order 1 each predict one id, the las
 into the probabilities of "the order-2 prediction", "the order-1 prediction" and "another id". Another id is
 coded by the order-0 model, the frequencies of all ids so far in the block, brought up to date at growing distances.
 
-Defined results: a null text is an empty one and has only its end id; rows that share an id are kept, ordered
-by text hash; an empty table gives no file and no rows.
+Defined results: a null text is an empty one and has only its end id; a text of any length lies in one block whole; null ids come
+first; rows that share an id are kept, ordered by text hash, and repeated rows one after the other; an id of 65,536 or more
+fails the writing; further columns, whatever their names, are not looked at; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations

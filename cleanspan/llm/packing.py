@@ -8,8 +8,9 @@ pattern to enter, until none pays. Rounded pattern counts, and first-fit-decreas
 rounding left, are a plan of bounded size: it depends on the lengths only, not on the documents. The k-th
 piece of a length, in the order of document ids, takes the k-th place that the plan has for that length.
 
-Defined results: a null text is an empty one and still has its end id; rows equal in id and text are packed
-once each, in either order; an empty table gives an empty table.
+Defined results: a null text is an empty one and still has its end id; a text of any length is cut into as many pieces as it
+takes; null ids come first in their length's order; rows equal in id and text are packed once each, in either order, which are
+the only ties; further columns, whatever their names, are not looked at; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ trained. Scoring is one pass over all texts with that classifier.
 Labels are only ever read of rows outside the held-out fifth (crc32 of the id as text, modulo 5). The model is
 fitted on a sample of at most ``TRAIN_ROWS`` of them, by hash order, with one text of each group of copies.
 
-Defined results: a null or empty text scores what the classifier gives without any finding; a null id counts as
-held out; without toxic or without clean training rows the fixed lexicons decide; an empty table gives an
+Defined results: a null or empty text scores what the classifier gives without any finding, a text of any length is read
+whole; repeated rows score alike, and a score of exactly 0.5 is predicted toxic; a document labelled both ways counts as
+toxic; a null id counts as held out; without toxic or without clean training rows the fixed lexicons decide; an empty table gives an
 empty table; further columns stay as they are, whatever their names.
 """
 
