@@ -2,6 +2,10 @@
 
 Each stage is ``(name, function)``; the function takes (spark, docs, sf_dir) and returns a table that is written as
 Parquet and read again as the next one's documents. All but the last return the columns of documents.
+
+Defined results: each stage treats nulls, empty and very long texts, ties, repeated rows and further columns as its operator's
+module says; an empty table goes through all stages and gives an empty table. The mixing stage writes its documents in the order of
+the mix, a document as often as the mix takes it.
 """
 
 from __future__ import annotations
