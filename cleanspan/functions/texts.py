@@ -66,9 +66,12 @@ def is_multiline(text: Column) -> Column:
 # --- Formula-like lines ----------------------------------------------------------------------------
 
 _S = f"[{classes.SPACE}]"
+#: With its area code in brackets; no spreadsheet evaluates it.
+_PHONE = rf"\+[0-9]{{1,3}}{_S}?\([0-9]{{1,5}}\)(?:[{classes.SPACE}.-]?[0-9]){{6,14}}(?=[{classes.SPACE}.,;:/)]|\z)"
 FORMULA = (
     rf"\A{_S}*(?:=(?!=*{_S}*\z)"
-    r"|[-+](?:[(=@]|[0-9.]+" + _S + r"*[-+*/^&%(]|[A-Za-z_][A-Za-z0-9_.]*" + _S + r"*[(|!])"
+    rf"|(?!{_PHONE})"
+    r"[-+](?:[(=@]|[0-9.]+" + _S + r"*[-+*/^&%(]|[A-Za-z_][A-Za-z0-9_.]*" + _S + r"*[(|!])"
     r"|@[A-Za-z_][A-Za-z0-9_.]*" + _S + r"*[(|])"
 )
 

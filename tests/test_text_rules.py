@@ -181,6 +181,15 @@ def test_formulas_lines_and_sizes(run):
     assert run(lambda t: texts.format_code_point(t.cast("int")), ["200", "8203", "128640"]) == ["U+00C8", "U+200B", "U+1F680"]
 
 
+def test_phone_numbers_are_no_formulas(run):
+    phones = ["+1 (389) 555-5010 Les des", "+1(389)5555010", " +49 (0)30 1234", "+44 (0)20 7946 0000, or", "+1 (389) 555-5010\u00a0the", "+1 (389) 555-5010."]
+    formulas = ["+1 (2)", "+1 (2)*3", "-1 (389) 555-5010", "+1 (389) 555-5010*2", "+1 (389) 555-5010+cmd|' /C calc'!A0", "+1-389-555-5010", "+1*(389) 555"]
+    cases = [*phones, *formulas, "k\t+1 (389) 555-5010\t=1"]
+    for text, lines in zip(cases, run(texts.formula_lines, cases), strict=True):
+        assert [x.asDict() for x in lines] == scan.inspect(text)["formulaLines"], text
+        assert [x.cell for x in lines] == ([] if text in phones else [1] if text in formulas else [3]), text
+
+
 # --- Secrets ---------------------------------------------------------------------------------------------
 
 
