@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import AtomicFile, filesystem, fresh_path, stored
-from .tokens import default_tokenizer, encoder, raw_texts
+from .tokens import default_tokenizer, encoder
 
 MAGIC = b"CSTK0001"
 BLOCK_MAGIC = b"CSBK"
@@ -203,8 +203,8 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
         o, w, c = one[:k], two[:k], code[:k]
         at, e2, e1, pair = model.predict(o, w)
         step = coder.wide[:k] >> U(MIX_BITS)
-        value = np.minimum((c - coder.low[:k]) // step, U((1 << MIX_BITS) - 1))
-        kind = (value >= model.bound1.take(pair)).astype(np.int64) + (value >= model.bound2.take(pair))
+        above = c - coder.low[:k]
+        kind = (above >= step * model.bound1.take(pair)).astype(np.int64) + (above >= step * model.bound2.take(pair))
         chosen = pair * 3 + kind
         coder.narrow(k, step, model.place_mix.take(chosen))
         step = coder.wide[:k] >> U(ORDER0_BITS)
@@ -289,7 +289,6 @@ def write(
     Files are renamed into place when whole, so a task that runs twice leaves one file.
     """
     path = tokenizer or default_tokenizer()
-    end = end_id.to_bytes(4, "little")
 
     def put(batches):
         import pyarrow as pa
@@ -297,16 +296,16 @@ def write(
 
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}.cstk"
-        out, encode = None, encoder(path).encode
+        out, encode = None, encoder(path).encode_column
         docs: list = []
         lengths: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         runs: list[list] = []
         size = 0
 
         def flush():
             nonlocal size, docs, lengths, held
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             begins = out.size if runs else 0
             out.write(write_block(docs, lengths, ids))
             if not runs or runs[-1][-1] == split_blocks:
@@ -317,17 +316,23 @@ def write(
 
         try:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                keys, at = batch.column(0).to_pylist(), 0
+                for ids, counts in encode(batch.column(1)):
                     if out is None:
                         out = AtomicFile(name)
                         out.write(MAGIC)
-                    ids = encode(text) + end
-                    docs.append(doc)
-                    lengths.append(len(ids) // 4)
-                    held.append(ids)
-                    size += len(ids) // 4
-                    if size >= block_ids:
-                        flush()
+                    ids, ends = np.insert(ids, np.cumsum(counts), end_id), np.cumsum(counts + 1)
+                    names, done, k = keys[at : at + len(counts)], 0, 0
+                    at += len(counts)
+                    while k < len(names):  # up to the text that fills the block, or all that there are
+                        stop = min(len(names), 1 + int(np.searchsorted(ends, done + block_ids - size)))
+                        docs += names[k:stop]
+                        lengths += (counts[k:stop] + 1).tolist()
+                        held.append(ids[done : ends[stop - 1]])
+                        size += len(held[-1])
+                        k, done = stop, int(ends[stop - 1])
+                        if size >= block_ids:
+                            flush()
             if out is None:
                 return
             if docs:

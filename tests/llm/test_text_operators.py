@@ -163,6 +163,45 @@ def test_encoder_equals_library(odd_rows):
         assert list(np.frombuffer(e.encode(text), "<u4")) == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_columns_are_encoded_as_their_texts(odd_rows):
+    import pyarrow as pa
+
+    e = tokens.WordEncoder(tokens.default_tokenizer(), limit=50)
+    rng = np.random.default_rng(2)
+    letters = list("ab Z'HJT\u0331\u030c\u0308stré́ \x1c\x85\x0b\x0c\n\t\0 ΣςİIK1٢３#*'ll\u200d\U0001f600ß가\u00a0　\u2028 .,;:!?<>|")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)] + [r[1] for r in odd_rows]
+    texts += ["<|ENDOFTEXT|> <|endoftext|> a<|endoftext|>.", "abc<|startoftext|>", "Don't. DON'T!", "THE\tthe. The, ...", "a" * 70_000, "x.\n", "é.\n"]
+    texts += [f"{chr(c)}A. B{chr(c)} {chr(c)}" for c in range(0x80, 0x250)]  # every letter that a column has in plain words, and others
+    want = [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()), pa.array(["x y", None, *texts], pa.string()).slice(2)):
+        for most in (1, 1000, 1 << 30):
+            got = [(ids.tobytes(), 4 * counts) for ids, counts in e.encode_column(column, most)]
+            cut = [ids[end - n : end] for ids, sizes in got for end, n in zip(np.cumsum(sizes), sizes, strict=True)]
+            assert cut == want and all(len(ids) == sum(sizes) for ids, sizes in got)
+    for ends in (e.ends | True, None):  # words that the model does not end as expected are encoded one by one
+        e = tokens.WordEncoder(tokens.default_tokenizer())
+        e.ends = ends
+        assert b"".join(ids.tobytes() for ids, _ in e.encode_column(column)) == b"".join(want)
+    for none in ([], [None, None], ["", " \n"]):
+        assert [(len(ids), counts.tolist()) for ids, counts in e.encode_column(pa.array(none, pa.string()))] == [(0, [0, 0])] * bool(none)
+
+
+def test_a_column_looks_up_each_word_once():
+    import pyarrow as pa
+
+    looked = Counter()
+
+    class Counted(tokens.Words):
+        def get(self, word):
+            looked[word] += 1
+            return super().get(word)
+
+    e = tokens.WordEncoder(tokens.default_tokenizer())
+    e.words = Counted(e.learn, tokens.CACHE_WORDS)
+    assert sum(counts.sum() for _, counts in e.encode_column(pa.array(["in the house", "The house.  in", "House"] * 1000))) == 8000
+    assert looked == {w: 1 for w in (b"in", b"the", b"house", b".", b"")}
+
+
 # --- op 3 --------------------------------------------------------------------------------------------
 
 
